@@ -8,8 +8,8 @@ The fractional part is settled by the cube method: three fractional documents of
 along the null space of the two constraints (documents, words) until one of the three is in or out, so each source's
 token and document totals stay exactly balanced. Documents are dealt into blocks of about ``BLOCK`` rows of one source by
 a hash of their id and text; a block leaves at most two documents open, and these meet in the next, far smaller level.
-Large documents move first. The last block of a source keeps its ten smallest documents for the landing, which takes the
-outcome of all open ones that is nearest to the target.
+The last block of a source holds its last twelve documents back for the landing, which takes the outcome of all open
+ones that is nearest to the target.
 
 Sizes, ranks and targets are of all rows; a source with a third of all rows is many blocks. Moves depend only on hashes
 of rows, so reruns agree. Defined cases: a null text has 0 words, and so has an empty one; documents of 0 words take part
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ._util import python_ready, written
 
 BLOCK = 512
-HOLD = 10
+HOLD = 12
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
 EDGE = 1e-9
@@ -112,7 +112,7 @@ _UNIT = "place long, doc_id long, source string, size long, h long, copies int,
 
 def _settle(last: bool):
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["h", "doc_id", "size"], kind="stable")
         end = last or bool(pdf["lone"].iloc[0])
         p = flight(pdf["pi"].to_numpy(), pdf["size"].to_numpy(), int(pdf["h"].iloc[0]), HOLD * end)
         if end:
