@@ -91,6 +91,11 @@ def bounded_sample(df: DataFrame, classes: str, bound: int, key) -> DataFrame:
     return df.where(keep)
 
 
+def sampled_ids(labels: DataFrame, label: str, bound: int) -> DataFrame:
+    """(doc_id, label) of a bounded sample of distinct labelled ids, at most 4 times ``bound`` rows, to be broadcast."""
+    return F.broadcast(bounded_sample(labels.distinct(), label, bound, F.col("doc_id")).limit(4 * bound))
+
+
 def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected graph of ``edges(u, v)`` long columns; component is its smallest node.
 

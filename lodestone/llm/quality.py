@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._fit import Logistic, fit_logistic
-from ._util import bounded_sample, held_out, learnable, python_ready, written
+from ._util import held_out, learnable, python_ready, sampled_ids, written
 
 #: Learning takes at most about so many labelled documents of each class.
 DOCS_PER_CLASS = 1500
@@ -62,7 +62,7 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLASS
     """Learns the document model from a bounded sample of the labelled documents outside the held-out fold."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(learnable() & F.col("quality").isin(0, 1))
     shares = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
-    chosen = bounded_sample(known, "quality", docs_per_class, F.col("doc_id"))
+    chosen = sampled_ids(known, "quality", docs_per_class)
     sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "quality")
     rows = sorted((r["doc_id"], r["quality"], shape(r["text"])) for r in sample.toLocalIterator())
     if not rows:

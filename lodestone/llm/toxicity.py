@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._fit import Logistic, fit_logistic
-from ._util import bounded_sample, held_out, learnable, python_ready
+from ._util import held_out, learnable, python_ready, sampled_ids
 
 WORD = re.compile(r"\w+")
 N_WEIGHTS = 1 << 18
@@ -263,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLASS
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(learnable() & F.col("toxic").isin(0, 1))
     shares = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     total = sum(shares.values()) or 1
-    chosen = bounded_sample(known, "toxic", docs_per_class, F.col("doc_id"))
+    chosen = sampled_ids(known, "toxic", docs_per_class)
     sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "toxic")
     rows = sorted(((r["doc_id"], r["text"] or "", r["toxic"]) for r in sample.toLocalIterator()))
     return train([(t, y) for _, t, y in rows], {k: shares.get(k, 0) / total for k in (0, 1)})
