@@ -35,11 +35,17 @@ def words_of(text: Column) -> Column:
     """Lower-cased (A-Z only) words of a text, empty for null."""
     t = F.coalesce(text, F.lit(""))
     low = F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(t, string.ascii_uppercase, string.ascii_lowercase))
-    return F.array_remove(F.split(low, SEPARATORS), "")
+    parts = F.split(low, SEPARATORS)
+    # Only the first and the last part can be empty; both are the same where there is but one.
+    lead = F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0)
+    tail = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
+    return F.slice(parts, lead + 1, F.size(parts) - lead - tail)
 
 
-def _gram(hashes: str, at: Column, n: int) -> Column:
-    return F.xxhash64(*(F.get(hashes, (at + j).cast("int")) for j in range(n)))
+def _gram_hashes(words: str, n: int) -> Column:
+    """Hashes of all runs of ``n`` words; null for a shorter text."""
+    grams = F.sequence(F.lit(0), F.size(words) - n)
+    return F.when(F.size(words) >= n, F.transform(grams, lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(n)))))
 
 
 def _context(words: str, at: Column) -> Column:
@@ -49,13 +55,13 @@ def _context(words: str, at: Column) -> Column:
 
 def winnowed(rows: DataFrame, keep: list[str]) -> DataFrame:
     """(keep..., at, fp, context) of every fingerprint of ``rows(keep..., words)``; ``at`` is the k-gram's first word."""
-    hashed = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    placed = hashed.select(*keep, "words", "hashes", F.explode(
-        F.when(F.size("words") >= WINDOW, F.sequence(F.lit(0), F.size("words") - WINDOW))).alias("i"))
+    hashed = rows.select(*keep, "words", F.when(F.size("words") >= WINDOW, _gram_hashes("words", K)).alias("hashes"))
+    placed = hashed.select(*keep, "words", "hashes", F.explode(F.sequence(F.lit(0), F.size("hashes") - GRAMS)).alias("i"))
     i = F.col("i")
-    # The id times 0 holds the optimizer from pushing the filter below, where it would hash every gram several times.
-    grams = placed.select(*keep, "words", (i + F.monotonically_increasing_id() * 0).alias("i"), _gram("hashes", i - 1, K).alias("g_before"),
-                          *(_gram("hashes", i + t, K).alias(f"g{t}") for t in range(GRAMS)))
+    # The id times 0 holds the optimizer from pushing the filter below, where it would read every gram several times.
+    # Code must stay small here: a generated method of over 8000 bytes of bytecode is never compiled by the JVM.
+    grams = placed.select(*keep, "words", (i + F.monotonically_increasing_id() * 0).alias("i"), F.get("hashes", i - 1).alias("g_before"),
+                          *(F.get("hashes", i + t).alias(f"g{t}") for t in range(GRAMS)))
     low = grams.withColumn("fp", F.least(*(F.col(f"g{t}") for t in range(GRAMS))))
     fresh = low.where((i == 0) | (F.col(f"g{GRAMS - 1}") == F.col("fp")) | (F.col("g_before") < F.col("fp")))
     offset = F.lit(0)
@@ -67,10 +73,9 @@ def winnowed(rows: DataFrame, keep: list[str]) -> DataFrame:
 
 def short_windows(rows: DataFrame, keep: list[str], n: int) -> DataFrame:
     """(keep..., at, fp, context) of every run of ``n`` words, n below WINDOW; context is the run."""
-    hashed = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    placed = hashed.select(*keep, "words", "hashes", F.explode(
-        F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n))).alias("at"))
-    return placed.select(*keep, "at", _gram("hashes", F.col("at"), n).alias("fp"), F.slice("words", F.col("at") + 1, n).alias("context"))
+    hashed = rows.select(*keep, "words", _gram_hashes("words", n).alias("hashes"))
+    return hashed.select(*keep, "words", F.posexplode("hashes").alias("at", "fp")).select(
+        *keep, "at", "fp", F.slice("words", F.col("at") + 1, n).alias("context"))
 
 
 def _sized(table: DataFrame) -> DataFrame:
@@ -84,19 +89,15 @@ def _item_side(table: DataFrame) -> DataFrame:
 def hits(rows: DataFrame, items: DataFrame) -> DataFrame:
     """(place, start, end, item) runs of hit words [start, end) of ``rows(place, words)``, whole shared windows each."""
     theirs = _sized(_item_side(winnowed(items.where(F.size("words") >= WINDOW), ["item_id"])).distinct())
-    found = winnowed(rows, ["place"]).join(theirs, F.col("fp") == F.col("fp_"))
-
-    def same(j: int) -> Column:
-        return F.coalesce(F.get("context", F.lit(j)) == F.get("theirs", F.lit(j)), F.lit(False))
-
-    left, right = F.lit(SIDE), F.lit(SIDE)
-    for j in range(SIDE - 1, -1, -1):
-        left = F.when(~same(SIDE - 1 - j), j).otherwise(left)
-        right = F.when(~same(SIDE + K + j), j).otherwise(right)
-    core = same(SIDE)
-    for j in range(1, K):
-        core = core & same(SIDE + j)
-    spans = found.where(core).select("place", "item", "at", left.alias("l"), right.alias("r")).where(F.col("l") + F.col("r") + K >= WINDOW)
+    # As above, the id times 0 keeps the comparison of words out of the join's own code.
+    found = winnowed(rows, ["place"]).join(theirs, F.col("fp") == F.col("fp_")).select(
+        "place", "item", (F.col("at") + F.monotonically_increasing_id() * 0).alias("at"), "context", "theirs")
+
+    alike = F.array_join(F.zip_with("context", "theirs", lambda x, y: F.when(x == y, "1").otherwise("0")), "")
+    compared = found.select("place", "item", "at", alike.alias("alike")).where(F.substring("alike", SIDE + 1, K) == "1" * K)
+    left = F.length(F.regexp_extract(F.substring("alike", 1, SIDE), "1*$", 0))
+    right = F.length(F.regexp_extract(F.substring("alike", SIDE + K + 1, SIDE), "^1*", 0))
+    spans = compared.select("place", "item", "at", left.alias("l"), right.alias("r")).where(F.col("l") + F.col("r") + K >= WINDOW)
     out = spans.select("place", (F.col("at") - F.col("l")).alias("start"), (F.col("at") + K + F.col("r")).alias("end"), "item")
     short = items.where((F.size("words") > 0) & (F.size("words") < WINDOW))
     for (n,) in short.select(F.size("words")).distinct().collect():  # nine values at most
