@@ -123,10 +123,11 @@ class Index:
 
     @classmethod
     def build(cls, spark: SparkSession, path: str, files: DataFrame, options: IndexOptions | None = None, force: bool = False,
-              schema: str = "1.0.0", partial: bool = False) -> Index:
+              schema: str = "1.0.0", partial: bool = False, removed: DataFrame | None = None) -> Index:
         """A new version from ``files(path, text, mtime)``: only changed files are parsed, gone ones are removed.
 
-        With ``partial`` the files are only those to refresh (saved or unsaved changes), and others stay.
+        With ``partial`` the files are only those to refresh (saved or unsaved changes), and others stay but for the
+        ``removed(path)`` ones.
         """
         options = options or IndexOptions()
         old = None if force else cls.open(spark, path, schema)
@@ -141,6 +142,8 @@ class Index:
             plan = index_plan(current, previous, False, options.verify_content_hash)
             if partial:
                 plan = plan.where("action <> 'remove'")
+                if removed is not None:
+                    plan = plan.unionByName(removed.select("path", F.lit("remove").alias("action")))
             plan.write.parquet(f"{base}/plan")
             plan = spark.read.parquet(f"{base}/plan")
             todo = files.join(plan.where("action = 'index'").select("path"), "path", "left_semi")
