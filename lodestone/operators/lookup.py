@@ -40,8 +40,10 @@ def find_references(refs: DataFrame, name: str, role: str | None = None) -> Data
     return rows.where(F.col("role").isin(role, "")) if role else rows
 
 
-def find_local_references(refs: DataFrame, name: str, file: str, func: str) -> DataFrame:
-    return refs.where((F.col("name") == name) & (F.col("file") == file) & (F.col("enclosing_func") == func) & F.col("is_local"))
+def find_local_references(refs: DataFrame, name: str, file: str, func: str | None = None) -> DataFrame:
+    """Local references in one function of a file, or without ``func`` in all of its functions."""
+    within = F.col("enclosing_func").isNotNull() if func is None else F.col("enclosing_func") == func
+    return refs.where((F.col("name") == name) & (F.col("file") == file) & within & F.col("is_local"))
 
 
 def find_callers(calls: DataFrame, name: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexical
 from ..session import ship_package
+from ..storage import settled
 from .lookup import ROLE_KINDS, ref_at
 from .types import candidate_tags, chain_owners
 
@@ -71,10 +72,9 @@ def self_guard(rows: DataFrame) -> DataFrame:
     return keep_if_any(rows, (F.col("file") == F.col("req_file")) & (F.col("line") == F.col("req_line")))
 
 
-def _owned(rows: DataFrame, tag: str, aliases: DataFrame, name: str) -> DataFrame:
+def _owned(rows: DataFrame, tag: str, tags: DataFrame, name: str) -> DataFrame:
     """Adds flag ``name``: the row's scope is the first candidate of the request's ``tag`` that owns any candidate."""
-    tags = candidate_tags(rows.where(F.col(tag) != "").select(F.col(tag).alias("tag")), aliases).select(
-        F.col("tag").alias("tag_"), F.col("candidate").alias("candidate_"), F.col("prio").alias("prio_"))
+    tags = tags.select(F.col("tag").alias("tag_"), F.col("candidate").alias("candidate_"), F.col("prio").alias("prio_"))
     w = Window.partitionBy("req_id")
     joined = rows.join(tags, (F.col(tag) == F.col("tag_")) & (F.col("scope") == F.col("candidate_")), "left")
     return joined.withColumn(name, F.coalesce(F.col("prio_") == F.min("prio_").over(w), F.lit(False))).drop("tag_", "candidate_", "prio_")
@@ -88,12 +88,12 @@ def request_chain() -> Column:
 
 def with_chain_owner(requests: DataFrame, symbols: DataFrame, local_rows: DataFrame, aliases: DataFrame) -> DataFrame:
     """Adds ``chain_owner`` to field requests with an object chain, each distinct chain resolved once."""
-    keyed = requests.withColumn("chain_", F.when(F.col("role") == "field", request_chain()))
+    keyed = settled(requests, "requests").withColumn("chain_", F.when(F.col("role") == "field", request_chain()))
     chains = keyed.where("chain_ is not null").select(F.col("req_file").alias("file"), "func", F.col("chain_").alias("chain"))
     owners = chain_owners(chains, symbols, local_rows, aliases).select(
         F.col("file").alias("f_"), F.col("func").alias("g_"), F.col("chain").alias("c_"), "chain_owner")
-    return keyed.join(owners, (F.col("req_file") == F.col("f_")) & F.col("func").eqNullSafe(F.col("g_")) & (F.col("chain_") == F.col("c_")),
-                      "left").drop("f_", "g_", "c_", "chain_")
+    return settled(keyed.join(owners, (F.col("req_file") == F.col("f_")) & F.col("func").eqNullSafe(F.col("g_")) & (F.col("chain_") == F.col("c_")),
+                              "left").drop("f_", "g_", "c_", "chain_"), "requests")
 
 
 def candidates_at(requests: DataFrame, symbols: DataFrame, local_rows: DataFrame, aliases: DataFrame, definition: bool) -> DataFrame:
@@ -107,7 +107,8 @@ def candidates_at(requests: DataFrame, symbols: DataFrame, local_rows: DataFrame
     is_field = F.col("role") == "field"
     unknown_access = ~known_role(F.col("role")) & F.coalesce("is_member_access", F.lit(False))
     rows = rows.where(~unknown_access | F.col("kind").isin(*MEMBER_KINDS, "macro"))
-    rows = _owned(_owned(rows, "owner", aliases, "by_owner"), "chain_owner", aliases, "by_chain")
+    tags = candidate_tags(requests.where("role = 'field'").select(F.explode(F.array("owner", "chain_owner")).alias("tag")).where("tag <> ''"), aliases)
+    rows = _owned(_owned(rows, "owner", tags, "by_owner"), "chain_owner", tags, "by_chain")
     w = Window.partitionBy("req_id")
     flagged = rows.withColumns({"any_owner": F.max("by_owner").over(w), "any_chain": F.max("by_chain").over(w), "n_": F.count("*").over(w)})
     keep = F.when(F.col("any_owner"), F.col("by_owner")).when((F.col("n_") > 1) & F.col("any_chain"), F.col("by_chain")).otherwise(True)
@@ -179,7 +180,7 @@ def goto_definition(cursors: DataFrame, symbols: DataFrame, refs: DataFrame, loc
     there is no word to look up.
     """
     contexts = cursor_contexts(cursors)
-    requests = requests_of(contexts, refs)
+    requests = settled(requests_of(contexts, refs), "requests")
     found = local_hits(requests, local_rows).select("req_id", *HIT_COLUMNS)
     rest = requests.join(found.select("req_id").distinct(), "req_id", "left_anti")
     structural = (F.coalesce("ref_source", F.lit("")) != "grep") & known_role(F.col("role"))
@@ -217,13 +218,14 @@ def references_at(requests: DataFrame, symbols: DataFrame, refs: DataFrame, loca
         F.collect_set("scope").alias("scopes_"))
     target = F.coalesce(F.nullif("owner", F.lit("")), "chain_owner", F.when(F.size("scopes_") == 1, F.get("scopes_", F.lit(0))))
     aimed = wide.join(unique, "req_id", "left").select("req_id", "word", "role", F.when(F.col("role") == "field", target).alias("target"))
-    pairs = aimed.join(r.where(~F.col("ref_local")), F.col("word") == F.col("name")).where(admits)
+    pairs = settled(aimed.join(r.where(~F.col("ref_local")), F.col("word") == F.col("name")).where(admits), "pairs")
     chains = pairs.where("target is not null and coalesce(ref_owner, '') = '' and size(ref_chain) > 0").select(
         "file", F.col("enclosing_func").alias("func"), F.col("ref_chain").alias("chain"))
     owners = chain_owners(chains, symbols, local_rows, aliases).select(
         F.col("file").alias("f_"), F.col("func").alias("g_"), F.col("chain").alias("c_"), F.col("chain_owner").alias("late_owner"))
     owned = pairs.join(owners, (F.col("file") == F.col("f_")) & F.col("enclosing_func").eqNullSafe(F.col("g_")) & (F.col("ref_chain") == F.col("c_")),
                        "left").withColumn("own_", F.coalesce(F.nullif("ref_owner", F.lit("")), "late_owner"))
+    owned = settled(owned, "pairs")
     # Every name that an owner or a target may go by: a pair matches if either is among the other's.
     tags = candidate_tags(owned.where("target is not null").select(F.explode(F.array_compact(F.array("own_", "target"))).alias("tag")), aliases).select(
         F.col("tag").alias("t_"), F.col("candidate").alias("n_"))

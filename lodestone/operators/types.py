@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexical import PRIMITIVE_NAMES
 from ..functions.tags import SUFFIXES
+from ..storage import settled
 from .lookup import typedef_targets
 
 MAX_HOPS = 64
@@ -15,11 +16,12 @@ MAX_HOPS = 64
 def typedef_closure(tags: DataFrame, aliases: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """(tag, hop, depth): each distinct ``tags(tag)`` and the typedef targets it leads to; cycles end."""
     targets = typedef_targets(aliases)
-    level = tags.select("tag").distinct().select("tag", F.col("tag").alias("hop"), F.lit(0).alias("depth"), F.array("tag").alias("path"))
+    level = settled(tags.select("tag").distinct(), "tags").select("tag", F.col("tag").alias("hop"), F.lit(0).alias("depth"), F.array("tag").alias("path"))
     out = level
     for depth in range(1, max_hops):
         step = level.join(targets, F.col("hop") == F.col("name")).where(~F.array_contains("path", F.col("target")))
-        level = step.select("tag", F.col("target").alias("hop"), F.lit(depth).alias("depth"), F.concat("path", F.array("target")).alias("path"))
+        level = settled(step.select("tag", F.col("target").alias("hop"), F.lit(depth).alias("depth"),
+                                    F.concat("path", F.array("target")).alias("path")), "tag-hops")
         if level.isEmpty():
             break
         out = out.unionByName(level)
@@ -79,8 +81,8 @@ def chain_owners(chains: DataFrame, symbols: DataFrame, local_rows: DataFrame, a
              .join(returns.withColumnRenamed("name", "c_"), F.col("called") == F.col("c_"), "left"))
     tag = (F.when(root.startswith("@type:"), F.substring(root, 7, 1_000_000)).when(F.col("called").isNotNull(), aggregate_tag(F.col("return_type")))
            .otherwise(F.coalesce("local_type", "global_type")))
-    state = typed.select("k", "file", "func", "chain", tag.alias("tag"))
-    longest = keyed.agg(F.max(F.size("chain"))).first()[0] or 0
+    state = settled(typed.select("k", "file", "func", "chain", tag.alias("tag")), "chains")
+    longest = state.agg(F.max(F.size("chain"))).first()[0] or 0
     fields = symbols.where("kind = 'field' and is_definition").select(F.col("file").alias("ff"), "ord", "name", "scope", "data_type")
     for hop in range(1, longest):
         element = F.get("chain", F.lit(hop))
@@ -88,6 +90,6 @@ def chain_owners(chains: DataFrame, symbols: DataFrame, local_rows: DataFrame, a
         candidates = candidate_tags(going, aliases)
         owned = fields_of_type(going.join(fields, element == F.col("name")).select("k", "tag", "scope", "ff", "ord", "data_type"), candidates, ["k"])
         reached = owned.where("data_type <> ''").groupBy("k").agg(F.min_by("data_type", F.struct("ff", "ord")).alias("next_"))
-        state = state.join(reached, "k", "left").select("k", "file", "func", "chain",
-                                                        F.when(F.size("chain") > hop, F.col("next_")).otherwise(F.col("tag")).alias("tag"))
+        state = settled(state.join(reached, "k", "left").select(
+            "k", "file", "func", "chain", F.when(F.size("chain") > hop, F.col("next_")).otherwise(F.col("tag")).alias("tag")), "chains")
     return state.select("file", "func", "chain", F.col("tag").alias("chain_owner"))
