@@ -172,18 +172,15 @@ def _candidate_tags(spark, sf):
     return _prio(types.candidate_tags(_tags(spark, sf), _(spark, sf, "aliases")))
 
 
-# Requests of the narrowing queries: one for each part, against the symbols of its name.
-_REQ = """, req as (select p_partkey as req_id, replace(p_name, ' ', '_') as word, case p_partkey % 4 when 0 then 'value' when 1 then 'field' when 2 then '' else 'type' end as role,
-  'f' || cast(p_partkey % 97 as string) || '.c' as req_file, p_size as req_line, case when p_partkey % 5 = 0 then null else p_size % 3 end as call_arity,
-  p_partkey % 2 = 0 as access from part where p_size % 25 = 3)"""
+# Requests of the narrowing queries: some for each name, so their candidates grow with the symbols and no faster.
+_ASKED = """select req_id, word, case g % 4 when 0 then 'value' when 1 then 'field' when 2 then '' else 'type' end as role,
+  'f' || cast(req_id % 97 as string) || '.c' as req_file, cast(req_id % 50 as int) + 1 as req_line, case when g % 5 = 0 then null else g % 3 end as call_arity,
+  g % 2 = 0 as access from (select min(p_partkey) as req_id, replace(p_name, ' ', '_') as word, cast(p_partkey % 20 as int) as g from {part} group by 2, 3)"""
+_REQ = ", req as (" + _ASKED.format(part="part") + ")"
 
 
 def _requests(spark, sf):
-    p = spark.read.parquet(f"{sf}/part.parquet").where("p_size % 25 = 3")
-    role = F.expr("case p_partkey % 4 when 0 then 'value' when 1 then 'field' when 2 then '' else 'type' end")
-    return p.select(F.col("p_partkey").alias("req_id"), F.regexp_replace("p_name", " ", "_").alias("word"), role.alias("role"),
-                    F.concat(F.lit("f"), (F.col("p_partkey") % 97).cast("string"), F.lit(".c")).alias("req_file"), F.col("p_size").alias("req_line"),
-                    F.expr("case when p_partkey % 5 = 0 then null else p_size % 3 end").alias("call_arity"), (F.col("p_partkey") % 2 == 0).alias("access"))
+    return spark.sql(_ASKED, part=spark.read.parquet(f"{sf}/part.parquet"))
 
 
 def _candidates(spark, sf):

@@ -38,7 +38,7 @@ REFS = """select l_orderkey * 10 + l_linenumber as ord, 'f' || cast(l_partkey %
 
 CALLS = """select l_orderkey * 10 + l_linenumber as ord, 'f' || cast(l_partkey % 97 as string) || '.c' as file,
   case when l_suppkey % 9 = 0 then null else 'fn' || cast(l_suppkey % 60 as string) end as caller, 'fn' || cast(l_partkey % 60 as string) as callee,
-  l_linenumber as line, cast(l_orderkey % 50 as int) as col from lineitem where l_orderkey % 4 = 0"""
+  l_linenumber as line, cast(l_orderkey % 50 as int) as col from lineitem"""
 
 LOCALS = """select o_orderkey as ord, 'f' || cast(o_orderkey % 97 as string) || '.c' as file, 'v' || cast(o_custkey % 20 as string) as name,
   case when o_custkey % 3 = 0 then 'parameter' else 'local_variable' end as kind, 'fn' || cast(o_custkey % 40 as string) as func,
