@@ -167,11 +167,38 @@ def test_links_keep_all_connections(table, hot):
     assert components(points, lambda a, b: frozenset((a, b)) in have) == components(points, lambda a, b: (a ^ b).bit_count() <= 3)
 
 
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def test_near_copies_are_found_and_others_left(table):
+    """Planted copies with one word in forty replaced meet their originals; texts of the same words at random don't."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(3000)] + ["the", "of"] * 300
+    texts = [[rng.choice(vocabulary) for _ in range(rng.randint(60, 300))] for _ in range(150)]
+    rows = [(k, " ".join(t), "en", "s", 1) for k, t in enumerate(texts)]
+    pairs = {}
+    for k in range(100):
+        copy = list(texts[k])
+        for at in rng.sample(range(len(copy)), max(1, len(copy) // 60)):
+            copy[at] = rng.choice(vocabulary)
+        a, b = shingles(" ".join(texts[k])), shingles(" ".join(copy))
+        if len(a & b) / len(a | b) >= 0.8:
+            pairs[1000 + k] = k
+        rows.append((1000 + k, " ".join(copy), "en", "s", 1))
+    got = {r.doc_id: r.component for r in simhash.near_copies(table(rows, DOCS)).collect()}
+    assert len(pairs) > 60 and np.mean([got[a] == got[b] for a, b in pairs.items()]) >= 0.95
+    assert len({got[k] for k in range(150)}) == 150
+
+
 def test_first_of_each(odd, empty, clashing):
     for df in (odd, clashing):
-        kept = simhash.first_of_each(df)
-        ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
-        assert kept.columns == df.columns and ids == [1, 2, 5, 7, 8, 10]
+        for parts in (None, simhash.near_copies(df)):
+            kept = simhash.first_of_each(df, parts)
+            ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
+            assert kept.columns == df.columns and ids == [1, 2, 5, 7, 8, 10]
+    assert simhash.near_copies(empty).count() == 0
     assert simhash.first_of_each(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
 
 

@@ -57,7 +57,7 @@ def test_stages_take_effect(spark, table):
     judged = kept.join(labels, "doc_id").agg(F.avg("quality")).first()[0]
     assert judged > 0.98 and kept.join(labels.where("quality = 1"), "doc_id").count() >= 0.98 * labels.where("quality = 1").count()
     unique = corpus_pipeline.written(corpus_pipeline.drop_near_duplicates(spark, kept, sf), "t")
-    parts = simhash.near_duplicates(kept)
+    parts = simhash.near_copies(kept)
     assert unique.count() == parts.select("component").distinct().count()
     assert {r.doc_id for r in unique.collect()} == {r.m for r in parts.groupBy("component").agg(F.min("doc_id").alias("m")).collect()}
     clean = corpus_pipeline.written(corpus_pipeline.drop_contaminated(spark, unique, sf), "t")
