@@ -302,6 +302,41 @@ def _call_children(spark, sf):
     return graph.call_children(calls, "callers", parents).select("parent", "name", "file", "line", "col", "recursive")
 
 
+@query("has_call_children", "select distinct callee as name from calls where caller is not null")
+def _has_children(spark, sf):
+    calls = _(spark, sf, "calls")
+    names = calls.where("caller is not null").select(F.col("callee").alias("name")).distinct()
+    return graph.has_children(calls, "callers", names)
+
+
+@query("call_relations", _NEIGH + """ , q as (select distinct callee as word, callee < 'fn3' as is_local from calls) select q.word, e.name, e.file, e.line, e.col,
+  e.name = '(file scope)' or e.name = q.word as recursive from q join edges e on q.word = e.parent where not q.is_local""")
+def _call_relations(spark, sf):
+    calls = _(spark, sf, "calls")
+    asked = calls.select(F.col("callee").alias("req_id"), F.col("callee").alias("word"), (F.col("callee") < "fn3").alias("is_local")).distinct()
+    return graph.call_relations(calls, "callers", asked).withColumnRenamed("req_id", "word")
+
+
+@query("find_local", "select ord, file, name, kind, func, line, col, data_type from locals_ where name = 'v7' and file = 'f7.c' and func = 'fn7'")
+def _find_local(spark, sf):
+    return lookup.find_locals(_(spark, sf, "locals_"), "v7", "f7.c", "fn7").select("ord", "file", "name", "kind", "func", "line", "col", "data_type")
+
+
+@query("typedef_targets", "select name, target from (select name, target, row_number() over (partition by name order by file, ord) as rn from aliases) where rn = 1")
+def _typedef_targets(spark, sf):
+    return lookup.typedef_targets(_(spark, sf, "aliases"))
+
+
+@query("file_meta", "select path, hash, mtime, parsed_by from files")
+def _file_meta(spark, sf):
+    return _(spark, sf, "files").select("path", "hash", "mtime", "parsed_by")
+
+
+@query("enclosing_func_at", "select enclosing_func from refs where file = 'f4.c' and name = 'small_ring' and line = 1 and col = 7 order by ord limit 1")
+def _enclosing_func_at(spark, sf):
+    return lookup.enclosing_func_at(_(spark, sf, "refs"), "f4.c", "small_ring", 1, 7)
+
+
 _TREE = _NEIGH + """, tree(depth, path, name, recursive) as (select 1, [parent], name, name = '(file scope)' or name = parent from edges where parent in ({roots})
   union all select t.depth + 1, list_append(t.path, t.name), e.name, e.name = '(file scope)' or list_contains(list_append(t.path, t.name), e.name)
   from tree t join edges e on e.parent = t.name where not t.recursive and t.depth < {depth})"""
@@ -507,6 +542,7 @@ query("goto_definition_fixture")(lambda s, d: fixtures.run(s, "goto"))
 query("references_fixture")(lambda s, d: fixtures.run(s, "references"))
 query("code_insight_fixture")(lambda s, d: fixtures.run(s, "insight"))
 query("symbol_info_fixture")(lambda s, d: fixtures.run(s, "symbol_info"))
+query("category_counts_fixture")(lambda s, d: report.category_counts(fixtures.run(s, "insight")))
 query("type_info_fixture")(lambda s, d: fixtures.run(s, "type_info"))
 
 __all__ = ["FILES", "ORACLE", "QUERIES", "occurrences_by_file", "settled"]

@@ -76,3 +76,12 @@ def excluded(path: Column, rules: list[Rule], folder: Column | None = None) -> C
             hit = hit | f.rlike("(?s)" + glob_regex(r.pattern)[:-1] + r"\z")
         out = F.when(hit, F.lit(not r.negated)).otherwise(out)
     return out
+
+
+def excluded_in_folders(file: str, folders: list[str], rules: list[Rule]) -> bool:
+    """True if any of the folders (absolute paths) that hold the file excludes it; a file outside all is judged as it is."""
+    file = file.replace("\\", "/")
+    inside = [f.rstrip("/") for f in folders if file.startswith(f.rstrip("/") + "/")]
+    if not inside:
+        return is_excluded(file, rules)
+    return any(is_excluded(file[len(f) + 1 :], rules, f.rpartition("/")[2]) for f in inside)
