@@ -28,7 +28,7 @@ MAX_DEPTH = 150
 
 
 class Node:
-    __slots__ = ("attrs", "children", "label", "node_id", "tag")
+    __slots__ = ("attrs", "children", "holds_main", "label", "node_id", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children = tag, attrs, []
@@ -36,6 +36,7 @@ class Node:
         marks = sorted({m for x in names if (m := re.sub(r"[^a-z_-]", "", x.lower()))})
         self.label = ".".join([tag, *marks])
         self.node_id = -1
+        self.holds_main = False
 
 
 def parse(source: str) -> Node:
@@ -85,6 +86,9 @@ def parse(source: str) -> Node:
                     break
         node = Node(tag, attrs)
         stack[-1].children.append(node)
+        if tag in ("article", "main"):
+            for outer in stack:
+                outer.holds_main = True
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(source, at)
             at = end.end() if end else n

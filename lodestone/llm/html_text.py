@@ -39,7 +39,9 @@ DROP_NAMES = re.compile(
     r"sponsor|sponsored|promo|promoted|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|"
     r"newsletter|subscribe|subscription|signup|sign-up|login|comment|comments|commentlist|disqus|reply|replies|respond|share|sharing|social|"
     r"breadcrumb|breadcrumbs|related|recommended|pagination|pager|widget|search|toolbar|skip|skip-link|form|outbrain|taboola|copyright|legal)"
-    r"(?:$|[-_])")
+    r"(?:$|[-_])|(?:nav|menu|footer|sidebar|comments)$|^ads?(?:box|slot|unit|wrap|by)")
+#: Names of reader comments: dropped even around what looks like an article.
+COMMENT_NAMES = re.compile(r"comment|disqus|repl(?:y|ies)|respond")
 #: Names that look like the above but hold content.
 KEEP_NAMES = re.compile(r"^(?:article|post|entry|story|page)-(?:header|body|content|text)$|^with-|^has-|^no-")
 
@@ -60,7 +62,10 @@ def dropped(node: Node, in_content: bool) -> bool:
     if a.get("role", "").lower() in DROP_ROLES:
         return True
     names = (a.get("class", "") + " " + a.get("id", "")).lower().split()
-    return any(DROP_NAMES.search(x) and not KEEP_NAMES.search(x) for x in names)
+    found = [x for x in names if DROP_NAMES.search(x) and not KEEP_NAMES.search(x)]
+    if found and node.holds_main and not in_content:  # a wrapper around the article, named after what it also holds
+        return any(COMMENT_NAMES.search(x) for x in found)
+    return bool(found)
 
 
 def _roots(tree: Node) -> list[Node]:

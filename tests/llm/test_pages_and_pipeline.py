@@ -18,6 +18,14 @@ def test_blocks_of_a_page():
     assert html_text.main_text(PAGE).split("\n\n") == ["Head & line", "One bold text", "Two three", "Four <x>", "a", "b"]
 
 
+def test_names_of_wrappers_and_parts():
+    page = ("<body><div class='content-sidebar-wrap'><div id=topnav>Menu</div><article class=post><h1>T</h1><p>Story</p><div class=adsbygoogle>Buy</div></article>"
+            "<div class='sidebar widget'>Side</div></div><section class=comments><article><p>Nice!</p></article></section><div class=sitefooter>End</div>")
+    assert html_text.main_text(page) == "T\n\nStory"
+    plain = "<div class=site-header>Site</div><div id=content><h2>Head</h2>Text one<br>two<table><tr><td>cell</td></tr></table></div><div class='cookie-banner'>OK?</div>"
+    assert html_text.main_text(plain) == "Head\n\nText one two\n\ncell"
+
+
 @pytest.mark.parametrize("text", [None, "", "<", "<p", "plain", "<div>" * 5000 + "deep" + "</div>" * 10, "<script>x", "</p></b>a", "<p>x<!-- never closed", "&#0; &bogus; a"])
 def test_malformed_pages_are_read(text):
     got = html_text.main_text(text)
