@@ -105,7 +105,8 @@ def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> D
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
             both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            # Written, so that the join reads two plain shuffles: only then can a hub's edges be split over tasks.
+            low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-low")
             out = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
             down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
