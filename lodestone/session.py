@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -39,7 +41,9 @@ def ship_package(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     top = Path(__file__).resolve().parent
-    path = os.path.join(tempfile.mkdtemp(prefix="lodestone-ship-"), "lodestone.zip")
+    folder = tempfile.mkdtemp(prefix="lodestone-ship-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "lodestone.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, f"{top.name}/{p.relative_to(top)}")

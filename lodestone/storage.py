@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,7 +18,9 @@ def shared_folder(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         app = spark.sparkContext.applicationId
-        where = _own.setdefault(app, "") or _own.update({app: "file://" + tempfile.mkdtemp(prefix="lodestone-index-")}) or _own[app]
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        where = _own[app]
     return where.rstrip("/")
 
 
@@ -31,12 +34,17 @@ def settled(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def _clean() -> None:
+    """Deletes what was settled; a stopped session's files too, as long as its JVM still runs."""
     for spark, path in _settled:
         try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session may be gone
+            sc = spark.sparkContext
+            conf = sc._jsc.hadoopConfiguration() if sc._jsc is not None else sc._jvm.org.apache.hadoop.conf.Configuration()
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        except Exception:  # noqa: BLE001  the JVM may be gone
             pass
+    for where in _own.values():
+        shutil.rmtree(where.removeprefix("file://"), ignore_errors=True)
 
 
 atexit.register(_clean)
