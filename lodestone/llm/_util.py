@@ -2,60 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from ..storage import settled as written
 
-_own_dirs: dict[str, str] = {}
-_written: list[tuple[SparkSession, str]] = []
+__all__ = ["bounded_sample", "connected_components", "held_out", "learnable", "python_ready", "sampled_ids", "written"]
 
 #: Rows of whole documents in one Arrow batch. A batch of the longest documents (about 100 kB) stays near 50 MB.
 ARROW_ROWS = 512
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests, local mode) one of our own."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        app = spark.sparkContext.applicationId
-        if app not in _own_dirs:
-            _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        where = _own_dirs[app]
-    return where.rstrip("/")
-
-
-def _delete_written() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session may be gone; then the folder stays for its owner to clean
-            pass
-    _written.clear()
-
-
-atexit.register(_delete_written)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back.
-
-    Cuts lineage: a lost executor costs only the tasks that ran on it, never a recomputation of what is upstream, and
-    ids or partition numbers that were written are the same for every later reader.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def python_ready(spark: SparkSession) -> None:
     """Ships the package to Python workers and keeps Arrow batches of whole documents small.
 
