@@ -213,8 +213,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     A text that shares 0.8 of its 5-word shingles with another has about one word in forty replaced. Three differing bits
     of a 64-bit fingerprint of shingles find few of these, so this takes 256 bits over distinct words, where such pairs
     differ in 10 % of bits or less and unrelated texts of any language in nearly half. The index is the same: eight
-    segments of 32 bits with Hamming balls of radius 1 (every pair of up to 15 differing bits meets, and of pairs of up
-    to ``WIDE_BITS`` all but a few in a hundred), one lane of the fingerprint to keep chance meetings out of a key's
+    segments of 32 bits with Hamming balls of radius 1 (every pair of up to 14 differing bits meets, and most of up to
+    ``WIDE_BITS``; this is no exact search), one lane of the fingerprint to keep chance meetings out of a key's
     forest, and all 256 bits verified on the links that remain.
     """
     lanes = [f"f{k}" for k in range(LANES)]
