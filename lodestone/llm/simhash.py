@@ -207,6 +207,38 @@ def wide_fingerprint(text: Column, spark) -> Column:
     return of(text.cast("binary"))
 
 
+def shingles_of(raw: bytes | None) -> np.ndarray:
+    """The distinct 5-word shingles of a text in UTF-8 as sorted 64-bit hashes; fewer than ``SHORT`` words are one shingle."""
+    words = (raw or b"").lower().split()
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    grams = [b" ".join(words)] if len(words) < SHORT else map(b" ".join, zip(*(words[k:] for k in range(SHORT)), strict=False))
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.fromiter((digest(g) for g in grams), dtype=np.uint64))
+
+
+def shingles(text: Column, spark) -> Column:
+    """The distinct shingles of a text column as array of signed longs."""
+    python_ready(spark)
+
+    @F.pandas_udf("array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([shingles_of(x).view(np.int64) for x in batch], dtype=object)
+
+    return of(text.cast("binary"))
+
+
+def verified(pairs: DataFrame, places: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of ``pairs(u, v)`` whose shingle sets, read again at ``places(node, place)`` of ``docs``, have a similarity of 0.8 or more."""
+    used = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    texts = docs.select(F.monotonically_increasing_id().alias("place"), "text").join(places.join(used, "node"), "place")
+    sets = written(texts.select("node", shingles(F.col("text"), docs.sparkSession).alias("s")), "copies-sets")
+    sides = [sets.select(F.col("node").alias(end), F.col("s").alias(f"s{end}")) for end in ("u", "v")]
+    both = F.size(F.array_intersect("su", "sv"))
+    return pairs.join(sides[0], "u").join(sides[1], "v").where(9 * both >= 4 * (F.size("su") + F.size("sv"))).select("u", "v")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """place, doc_id, component of every row of ``docs(doc_id, text)``: groups of near copies at 5-word similarity 0.8.
 
@@ -215,12 +247,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
     differ in 10 % of bits or less and unrelated texts of any language in nearly half. The index is the same: eight
     segments of 32 bits with Hamming balls of radius 1 (every pair of up to 14 differing bits meets, and most of up to
     ``WIDE_BITS``; this is no exact search), one lane of the fingerprint to keep chance meetings out of a key's
-    forest, and all 256 bits verified on the links that remain.
+    forest, and all 256 bits verified on the links that remain. Of these, only links of an exact 5-word shingle similarity of
+    0.8 or more count. Texts of the same shingles are one node.
     """
     lanes = [f"f{k}" for k in range(LANES)]
-    print_ = docs.select(F.monotonically_increasing_id().alias("place"), "doc_id", wide_fingerprint(F.col("text"), docs.sparkSession).alias("f"))
-    rows = written(print_.select("place", "doc_id", "f.*", F.xxhash64(*(f"f.{x}" for x in lanes)).alias("node")), "copies-docs")
-    nodes = written(rows.select("node", *lanes).distinct(), "copies-nodes")
+    print_ = docs.select(F.monotonically_increasing_id().alias("place"), "doc_id", wide_fingerprint(F.col("text"), docs.sparkSession).alias("f"),
+                         F.xxhash64(shingles(F.col("text"), docs.sparkSession)).alias("node"))
+    rows = written(print_.select("place", "doc_id", "f.*", "node"), "copies-docs")
+    nodes = written(rows.groupBy("node", *lanes).agg(F.min("place").alias("place")), "copies-nodes")
 
     def segment(k: int) -> Column:
         lane = F.col(lanes[(k // 2 + 1) % LANES])
@@ -231,7 +265,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     found = keys.repartition("key").sortWithinPartitions("key").mapInPandas(_linked(LANE_BITS, ["key"], "lane", "node"), "u long, v long").distinct()
     sides = [nodes.select(F.col("node").alias(end), *(F.col(x).alias(f"{end}_{x}") for x in lanes)) for end in ("u", "v")]
     apart = sum((F.bit_count(F.col(f"u_{x}").bitwiseXOR(F.col(f"v_{x}"))) for x in lanes), F.lit(0))
-    near = found.join(sides[0], "u").join(sides[1], "v").where(apart <= WIDE_BITS).select("u", "v")
+    close = written(found.join(sides[0], "u").join(sides[1], "v").where(apart <= WIDE_BITS).select("u", "v"), "copies-pairs")
+    near = verified(close, nodes.select("node", "place"), docs)
     groups = connected_components(near, "copies-links")
     of_node = groups.select(F.col("node").alias("node_"), F.col("component").alias("component_"))
     return rows.join(of_node, F.col("node") == F.col("node_"), "left").select("place", "doc_id", F.coalesce("component_", "node").alias("component"))

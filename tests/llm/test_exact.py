@@ -192,6 +192,27 @@ def test_near_copies_are_found_and_others_left(table):
     assert len({got[k] for k in range(150)}) == 150
 
 
+def similarity(a, b):
+    return len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+
+
+def test_near_copies_below_the_similarity_stay(table):
+    """Texts at 0.4 to 0.79 and the same words in another order aren't copies of each other."""
+    rng = random.Random(5)
+    texts = []
+    for k in range(60):
+        one = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        other = list(one)
+        for at in range(20, 180, 160 // (5 + k % 12)):
+            other[at] = f"x{rng.randrange(5000)}"
+        if 0.4 <= similarity(" ".join(one), " ".join(other)) < 0.8:
+            texts += [one, other]
+        texts.append(one[::-1])
+    assert len(texts) > 140
+    rows = [(k, " ".join(t), "en", "s", 1) for k, t in enumerate(texts)]
+    assert simhash.near_copies(table(rows, DOCS)).select("component").distinct().count() == len(rows)
+
+
 def test_first_of_each(odd, empty, clashing):
     for df in (odd, clashing):
         for parts in (None, simhash.near_copies(df)):
