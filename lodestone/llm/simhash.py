@@ -33,9 +33,13 @@ SHINGLE = 3
 MAX_BITS = 3
 #: Distinct fingerprints of one half beyond which its keys are indexed once more.
 HOT = 4096
-#: Wide fingerprints: 64-bit lanes, words below which a text is one feature, bits that near copies may differ in over
-#: all lanes, and in the one lane that a key's rows carry.
-LANES, SHORT, WIDE_BITS, LANE_BITS = 4, 5, 28, 14
+#: Near copies: words of a shingle, and 64-bit words of a text's parity bitmap.
+SHORT, BITMAP = 5, 4
+#: The order of shingles: documents sampled for it, sampled occurrences that make a shingle common, and common ones listed.
+#: It decides how many candidates there are and never which copies are found.
+ORDER_DOCS, COMMON, LISTED = 20_000, 4, 200_000
+#: Buckets of a text's shingle counts, and candidate texts up to which their row ids are broadcast to the texts.
+BUCKETS, FEW_TEXTS = 256, 200_000
 
 
 def fingerprint_of(raw: bytes | None, shingle: int = SHINGLE) -> int:
@@ -181,32 +185,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     return rows.join(classes, "fp").select("place", "doc_id", "fp", "component", "component_id")
 
 
-def wide_fingerprint_of(raw: bytes | None) -> bytes:
-    """256 bits of a text in UTF-8: the majority over its distinct words, or over all of it below ``SHORT`` words."""
-    words = (raw or b"").lower().split()
-    if not words:
-        return bytes(32)
-    features = set(words) if len(words) >= SHORT else {b" ".join(words)}
-    digest = xxhash.xxh3_128_digest
-    joined = b"".join([digest(w, seed) for w in features for seed in (SEED, SEED + 1)])
-    bits = np.unpackbits(np.frombuffer(joined, dtype=np.uint8).reshape(-1, 32), axis=1, bitorder="little")
-    return np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(bits), bitorder="little").tobytes()
-
-
-def wide_fingerprint(text: Column, spark) -> Column:
-    """The wide fingerprint of a text column as struct of ``LANES`` signed longs f0, f1, …"""
-    python_ready(spark)
-    names = [f"f{k}" for k in range(LANES)]
-
-    @F.pandas_udf(", ".join(f"{n} long" for n in names))
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = b"".join([wide_fingerprint_of(x) for x in batch])
-            yield pd.DataFrame(np.frombuffer(found, dtype=np.int64).reshape(-1, LANES), columns=names)
-
-    return of(text.cast("binary"))
-
-
 def shingles_of(raw: bytes | None) -> np.ndarray:
     """The distinct 5-word shingles of a text in UTF-8 as sorted 64-bit hashes; fewer than ``SHORT`` words are one shingle."""
     words = (raw or b"").lower().split()
@@ -232,42 +210,120 @@ def shingles(text: Column, spark) -> Column:
 def verified(pairs: DataFrame, places: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs(u, v)`` whose shingle sets, read again at ``places(node, place)`` of ``docs``, have a similarity of 0.8 or more."""
     used = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    texts = docs.select(F.monotonically_increasing_id().alias("place"), "text").join(places.join(used, "node"), "place")
+    at = written(places.join(used, "node").select("node", "place"), "copies-used")
+    at = F.broadcast(at) if at.count() <= FEW_TEXTS else at
+    texts = docs.select(F.monotonically_increasing_id().alias("place"), "text").join(at, "place")
     sets = written(texts.select("node", shingles(F.col("text"), docs.sparkSession).alias("s")), "copies-sets")
     sides = [sets.select(F.col("node").alias(end), F.col("s").alias(f"s{end}")) for end in ("u", "v")]
     both = F.size(F.array_intersect("su", "sv"))
     return pairs.join(sides[0], "u").join(sides[1], "v").where(9 * both >= 4 * (F.size("su") + F.size("sv"))).select("u", "v")
 
 
+def countable(pairs: DataFrame, stats: DataFrame) -> DataFrame:
+    """Those of ``pairs(u, v)`` whose bucket counts in ``stats(node, n, counts)`` allow a similarity of 0.8.
+
+    The counts of two sets differ by no more in sum than the sets do in shingles, which is (n + m) / 9 at 0.8.
+    """
+    @F.pandas_udf("int")
+    def apart(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for one, other in batches:
+            a, b = (np.frombuffer(b"".join(x), dtype=np.uint8).reshape(-1, BUCKETS).astype(np.int32) for x in (one, other))
+            yield pd.Series(np.abs(a - b).sum(axis=1, dtype=np.int32))
+
+    sides = [stats.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("counts").alias(f"c{end}")) for end in ("u", "v")]
+    held = pairs.join(sides[0], "u").join(sides[1], "v")
+    return held.where(9 * apart("cu", "cv") <= F.col("nu") + F.col("nv")).select("u", "v")
+
+
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """The commonest shingles of a sample of ``docs``, rarest first."""
+    spark = docs.sparkSession
+    every = max(1, docs.count() // ORDER_DOCS)
+    sample = docs.select(F.monotonically_increasing_id().alias("place"), "text").where(F.pmod(F.xxhash64("place"), F.lit(every)) == 0)
+    counts = sample.select(F.explode(shingles(F.col("text"), spark)).alias("s")).groupBy("s").count().where(F.col("count") >= COMMON)
+    listed = counts.orderBy(F.desc("count"), "s").limit(LISTED).toArrow()["s"].to_numpy()
+    return listed[::-1].view(np.uint64)
+
+
+def signature(text: Column, spark, common: np.ndarray) -> Column:
+    """node, n, b0, b1, …, counts, keys of a text column: a hash of its shingle set, the set's size, parity bitmap, bucket counts and prefix.
+
+    The prefix is the n // 5 + 1 first shingles in an order of all: those not in ``common`` by hash, then ``common``.
+    """
+    python_ready(spark)
+    names = [f"b{k}" for k in range(BITMAP)]
+    order = np.argsort(common, kind="stable")
+    known = common[order]
+
+    @F.pandas_udf(f"node long, n int, {', '.join(f'{x} long' for x in names)}, counts binary, keys array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            nodes, sizes, maps, counts, keys = [], [], [], [], []
+            for raw in batch:
+                s = shingles_of(raw)
+                rank = np.zeros(len(s), dtype=np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    rank = np.where(known[at] == s, order[at] + 1, 0)
+                held = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BUCKETS)
+                nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()))
+                sizes.append(len(s))
+                maps.append(np.packbits((held & 1).astype(np.uint8)).view(np.int64))
+                counts.append(np.minimum(held, 255).astype(np.uint8).tobytes())
+                keys.append(s[np.argsort(rank, kind="stable")[: len(s) // 5 + 1]].view(np.int64))
+            out = pd.DataFrame(np.array(maps, dtype=np.int64).reshape(-1, BITMAP), columns=names)
+            out.insert(0, "node", np.array(nodes, dtype=np.uint64).view(np.int64))
+            out.insert(1, "n", np.array(sizes, dtype=np.int32))
+            out["counts"] = pd.Series(counts, dtype=object)
+            out["keys"] = pd.Series(keys, dtype=object)
+            yield out
+
+    return of(text.cast("binary"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """place, doc_id, component of every row of ``docs(doc_id, text)``: groups of near copies at 5-word similarity 0.8.
 
-    A text that shares 0.8 of its 5-word shingles with another has about one word in forty replaced. Three differing bits
-    of a 64-bit fingerprint of shingles find few of these, so this takes 256 bits over distinct words, where such pairs
-    differ in 10 % of bits or less and unrelated texts of any language in nearly half. The index is the same: eight
-    segments of 32 bits with Hamming balls of radius 1 (every pair of up to 14 differing bits meets, and most of up to
-    ``WIDE_BITS``; this is no exact search), one lane of the fingerprint to keep chance meetings out of a key's
-    forest, and all 256 bits verified on the links that remain. Of these, only links of an exact 5-word shingle similarity of
-    0.8 or more count. Texts of the same shingles are one node.
+    Two texts link if the Jaccard similarity of their sets of 5-word shingles is 0.8 or more; components of links are
+    groups. The search is exact but for 64-bit hashes: two such sets share a shingle of their prefixes, which are the
+    n // 5 + 1 first of n shingles in any order of all. Here the order is rare before common, so that passages that many
+    texts hold bring few of them together. Candidates share a key, are of sizes that allow 0.8, and differ in no more
+    bits of parity bitmaps and bucket counts than their sets may differ in shingles; then the whole sets are compared.
+
+    Texts of the same shingles are one node, so groups of copies are never expanded. For groups of near copies, each key
+    first links its members with one of them, taken by a hash of key and node; after that only pairs of a key are
+    compared whose nodes aren't connected yet. No other pair is left out.
     """
-    lanes = [f"f{k}" for k in range(LANES)]
-    print_ = docs.select(F.monotonically_increasing_id().alias("place"), "doc_id", wide_fingerprint(F.col("text"), docs.sparkSession).alias("f"),
-                         F.xxhash64(shingles(F.col("text"), docs.sparkSession)).alias("node"))
-    rows = written(print_.select("place", "doc_id", "f.*", "node"), "copies-docs")
-    nodes = written(rows.groupBy("node", *lanes).agg(F.min("place").alias("place")), "copies-nodes")
-
-    def segment(k: int) -> Column:
-        lane = F.col(lanes[(k // 2 + 1) % LANES])
-        prefix = F.lit(k << 32).cast("long")
-        return F.transform(_ball(_half(F.col(lanes[k // 2]), k % 2), 32), lambda x: F.struct(prefix.bitwiseOR(x).alias("key"), lane.alias("lane")))
-
-    keys = nodes.select("node", F.explode(F.concat(*map(segment, range(2 * LANES)))).alias("k")).select("k.key", "k.lane", "node")
-    found = keys.repartition("key").sortWithinPartitions("key").mapInPandas(_linked(LANE_BITS, ["key"], "lane", "node"), "u long, v long").distinct()
-    sides = [nodes.select(F.col("node").alias(end), *(F.col(x).alias(f"{end}_{x}") for x in lanes)) for end in ("u", "v")]
-    apart = sum((F.bit_count(F.col(f"u_{x}").bitwiseXOR(F.col(f"v_{x}"))) for x in lanes), F.lit(0))
-    close = written(found.join(sides[0], "u").join(sides[1], "v").where(apart <= WIDE_BITS).select("u", "v"), "copies-pairs")
-    near = verified(close, nodes.select("node", "place"), docs)
-    groups = connected_components(near, "copies-links")
+    spark = docs.sparkSession
+    bits = [f"b{k}" for k in range(BITMAP)]
+    seen = docs.select(F.monotonically_increasing_id().alias("place"), "doc_id", signature(F.col("text"), spark, common_shingles(docs)).alias("s"))
+    rows = written(seen.select("place", "doc_id", "s.*"), "copies-docs")
+    places = written(rows.groupBy("node").agg(F.min("place").alias("place")), "copies-nodes")
+    nodes = written(rows.join(places.select("place"), "place", "left_semi").select("node", "n", *bits, "counts", "keys"), "copies-sets")
+    keys = nodes.select("node", F.explode("keys").alias("key")).repartition("key")
+    met = keys.groupBy("key").count().where(F.col("count") > 1).select("key")
+    shared = keys.join(met, "key").withColumn("turn", F.xxhash64("key", "node"))
+    shared = written(shared.join(nodes.select("node", "n", *bits), "node"), "copies-keys")
+
+    def side(df: DataFrame, end: str) -> DataFrame:
+        return df.select("key", *(F.col(c).alias(f"{end}_{c}") for c in df.columns if c != "key"))
+
+    apart = sum((F.bit_count(F.col(f"u_{x}").bitwiseXOR(F.col(f"v_{x}"))) for x in bits), F.lit(0))
+    able = (5 * F.least("u_n", "v_n") >= 4 * F.greatest("u_n", "v_n")) & (9 * apart <= F.col("u_n") + F.col("v_n"))
+    pair = [F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v")]
+    first = shared.groupBy("key").agg(F.min("turn").alias("turn"))
+    middle = side(shared.join(first, ["key", "turn"], "left_semi"), "u")
+    stars = written(middle.join(side(shared, "v"), "key").where((F.col("u_node") != F.col("v_node")) & able).select(*pair).distinct(), "copies-stars")
+    near = written(verified(written(countable(stars, nodes), "copies-pairs"), places, docs), "copies-near")
+    groups = connected_components(near, "copies-links").withColumnRenamed("node", "node_")
+    named = shared.join(groups, F.col("node") == F.col("node_"), "left").select("key", "node", "n", *bits, F.coalesce("component", "node").alias("part"))
+    named = written(named, "copies-parts")
+    open_ = named.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    left = written(named.join(open_, "key"), "copies-open")
+    rest = side(left, "u").join(side(left, "v"), "key").where((F.col("u_node") < F.col("v_node")) & (F.col("u_part") != F.col("v_part")) & able)
+    rest = written(rest.select(*pair).distinct().join(stars, ["u", "v"], "left_anti"), "copies-rest")
+    rest = written(countable(rest, nodes), "copies-pairs")
+    groups = connected_components(near.unionByName(verified(rest, places, docs)), "copies-all")
     of_node = groups.select(F.col("node").alias("node_"), F.col("component").alias("component_"))
     return rows.join(of_node, F.col("node") == F.col("node_"), "left").select("place", "doc_id", F.coalesce("component_", "node").alias("component"))
 

@@ -213,6 +213,29 @@ def test_near_copies_below_the_similarity_stay(table):
     assert simhash.near_copies(table(rows, DOCS)).select("component").distinct().count() == len(rows)
 
 
+def test_near_copies_are_those_of_all_pairs(table):
+    """Appended blocks, short texts, chains and a family around a common passage: the groups of a comparison of all pairs."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(40_000)}"
+    texts = []
+    for n in [15, 20] * 40 + [130, 250, 400] * 6:
+        one = [word() for _ in range(n)]
+        texts += [one, one[:-1] + [word()] if n < 100 else one + [word() for _ in range(n // 5 - 2)]]
+    base = [word() for _ in range(300)]
+    for _ in range(80):
+        texts.append([word() if rng.random() < 0.015 else w for w in base])
+        texts.append(base[:200] + [word() for _ in range(rng.randint(10, 200))])
+    texts = [" ".join(t) for t in texts] + ["", "one two", "One  two", "one two three"]
+    part = list(range(len(texts)))
+    sets = [shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
+    for i, j in pairs:
+        part = [part[j] if x == part[i] else x for x in part]
+    got = {r.doc_id: r.component for r in simhash.near_copies(table([(k, t, "en", "s", 1) for k, t in enumerate(texts)], DOCS)).collect()}
+    assert len(pairs) > 500
+    assert len({(got[k], part[k]) for k in got}) == len(set(got.values())) == len(set(part))
+
+
 def test_first_of_each(odd, empty, clashing):
     for df in (odd, clashing):
         for parts in (None, simhash.near_copies(df)):
