@@ -23,7 +23,7 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
           "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
           "option": ({"option"}, {"select"})}
 SCOPE = {"table", "td", "th", "button", "caption", "html", "article", "section", "main", "aside", "nav", "header", "footer", "div", "li", "body"}
-#: Elements nested deeper than this are opened as siblings; their text is kept.
+#: Elements nested deeper than this have their content beside them, or in the outermost of them that is to be dropped.
 MAX_DEPTH = 150
 
 
@@ -39,10 +39,14 @@ class Node:
         self.holds_main = False
 
 
-def parse(source: str) -> Node:
-    """The element tree of a page; children are nodes and strings with their character references decoded."""
+def parse(source: str, apart=lambda node, in_content: False) -> Node:
+    """The element tree of a page; children are nodes and strings with their character references decoded.
+
+    ``apart(node, in_content)`` is true for an element that keeps its content to itself even below ``MAX_DEPTH``.
+    """
     root = Node("html", {})
     stack = [root]
+    deep: list[tuple[str, Node]] = []  # tags of open elements below MAX_DEPTH, and where their content goes
     at, n = 0, len(source)
     while at < n:
         m = TOKEN.match(source, at)
@@ -51,15 +55,20 @@ def parse(source: str) -> Node:
         at = m.end()
         text = m["text"]
         if text is not None:
-            stack[-1].children.append(_html.unescape(text) if "&" in text else text)
+            (deep[-1][1] if deep else stack[-1]).children.append(_html.unescape(text) if "&" in text else text)
             continue
         if m["tag"] is None:
             continue
         tag = m["tag"].lower()
         if m["close"]:
+            at_ = next((k for k in range(len(deep) - 1, -1, -1) if deep[k][0] == tag), -1)
+            if at_ >= 0:
+                del deep[at_:]
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
+                    deep.clear()
                     break
                 if tag not in BLOCK and stack[k].tag in SCOPE:
                     break
@@ -69,14 +78,14 @@ def parse(source: str) -> Node:
             root.attrs |= attrs if tag == "html" else {}
             if tag == "html":
                 continue
-        if tag in BLOCK and tag not in ("option", "button", "select"):
+        if not deep and tag in BLOCK and tag not in ("option", "button", "select"):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
                     del stack[k:]
                     break
                 if stack[k].tag in SCOPE:
                     break
-        if tag in CLOSES:
+        if not deep and tag in CLOSES:
             shut, within = CLOSES[tag]
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in shut:
@@ -85,15 +94,21 @@ def parse(source: str) -> Node:
                 if stack[k].tag in within:
                     break
         node = Node(tag, attrs)
-        stack[-1].children.append(node)
+        parent = deep[-1][1] if deep else stack[-1]
+        parent.children.append(node)
         if tag in ("article", "main"):
             for outer in stack:
                 outer.holds_main = True
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(source, at)
             at = end.end() if end else n
-        elif tag not in VOID and not m["attrs"].endswith("/") and len(stack) < MAX_DEPTH:
-            stack.append(node)
+        elif tag not in VOID and not m["attrs"].endswith("/"):
+            if len(stack) < MAX_DEPTH:
+                deep.clear()
+                stack.append(node)
+            else:
+                inside = any(x.tag in ("article", "main") for x in stack)
+                deep.append((tag, node if parent is stack[-1] and apart(node, inside) else parent))
     return root
 
 

@@ -129,7 +129,7 @@ def main_text(source: str | None, wrapper: str | None = None, constant: list[int
     """Main text of a page, given its host's wrapper skeleton and the wrapper nodes that are template."""
     if not source:
         return ""
-    tree = parse(source)
+    tree = parse(source, dropped)
     template: set[int] = set()
     if wrapper and constant is not None and len(constant):
         sig, members = fold(tree)
@@ -164,7 +164,7 @@ def induce(pages: DataFrame) -> DataFrame:
             rows = []
             for host, source in zip(pdf["host"], pdf["html"], strict=True):
                 if source:
-                    sig, members = fold(parse(source))
+                    sig, members = fold(parse(source, dropped))
                     rows.append((host, sig, text_hashes(members)))
             yield pd.DataFrame(rows, columns=["host", "sig", "hashes"])
 

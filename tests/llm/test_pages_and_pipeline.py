@@ -34,6 +34,12 @@ def test_malformed_pages_are_read(text):
         assert got == "deep"
 
 
+def test_elements_below_the_depth_bound_close_themselves():
+    page = "<body><div><article><p>One</p>" + "<div>" * 160 + "deep<nav><ul><li>Menu</li></ul></nav>" + "</div>" * 160 + "<p>Two</p></article></div></body>"
+    got = html_text.main_text(page)
+    assert "One" in got and "deep" in got and got.endswith("Two") and "Menu" not in got
+
+
 def test_matching_is_the_largest():
     a, b = _dom.skeleton_tree("a(b(c()),d(),b())"), _dom.skeleton_tree("a(b(),x(),d(),b(c()))")
     pairs = _dom.match(a, b)
