@@ -11,8 +11,7 @@ A wrapper is one row of sums for each (host, node): a host with a third of all p
 are parsed twice and never moved but to meet their host's wrapper, which is broadcast by its size on disk or joined.
 
 Defined cases: null or empty html gives an empty text; a page of a host with fewer than ``MIN_PAGES`` pages, or of no
-host, is judged by its elements alone, as is a host without any slot (copies of one page); repeated pages count as
-pages. Malformed markup (unclosed, misnested, cut off) is read as far as it goes; text is never dropped or capped.
+host, is judged by its elements alone, as is a host without any slot; pages of the same blocks and texts count once. Malformed markup (unclosed, misnested, cut off) is read as far as it goes; text is never dropped or capped.
 """
 
 from __future__ import annotations
@@ -156,7 +155,7 @@ def host_of(url: Column) -> Column:
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, constant) of every host of ``pages(url, html)`` with MIN_PAGES pages or more."""
+    """(host, wrapper, constant) of every host of ``pages(url, html)`` with MIN_PAGES distinct pages or more."""
     python_ready(pages.sparkSession)
 
     def skeletons(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,7 +168,7 @@ def induce(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["host", "sig", "hashes"])
 
     known = pages.select(host_of(F.col("url")).alias("host"), "html").where("host is not null and html is not null")
-    parsed = written(known.mapInPandas(skeletons, "host string, sig string, hashes array<long>"), "html-skeletons")
+    parsed = written(known.mapInPandas(skeletons, "host string, sig string, hashes array<long>").distinct(), "html-skeletons")
     kinds = parsed.groupBy("host", "sig").count()
     wrappers = written(kinds.groupBy("host").agg(F.sum("count").alias("pages"), F.max_by("sig", F.struct("count", "sig")).alias("wrapper"))
                        .where(F.col("pages") >= MIN_PAGES), "html-wrappers")

@@ -58,6 +58,16 @@ def test_template_of_a_host_goes(table):
     assert got[3].n_chars == len(got[3].text)
 
 
+def test_copies_are_no_template(table):
+    """A block that only copies of one page hold stays in their text."""
+    def page(k, more=""):
+        return f"<body><div class=text><h1>Title {k}</h1><p>Body {k} of the story.</p>{more}</div></body>"
+
+    rows = [(k, f"http://h.org/{k}", page(9, "<blockquote>Quoted</blockquote>")) for k in range(5)] + [(10 + k, f"http://h.org/o{k}", page(k)) for k in range(4)]
+    got = {r.page_id: r.text for r in html_text.extract(table(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == "Title 9\n\nBody 9 of the story.\n\nQuoted" for k in range(5)) and got[12] == "Title 2\n\nBody 2 of the story."
+
+
 def test_no_pages(table):
     assert html_text.extract(table([], "page_id long, url string, html string")).count() == 0
 
