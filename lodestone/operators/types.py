@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,15 +12,13 @@ from ..functions.tags import SUFFIXES
 from ..storage import settled
 from .lookup import typedef_targets
 
-MAX_HOPS = 64
-
 
-def typedef_closure(tags: DataFrame, aliases: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+def typedef_closure(tags: DataFrame, aliases: DataFrame) -> DataFrame:
     """(tag, hop, depth): each distinct ``tags(tag)`` and the typedef targets it leads to; cycles end."""
     targets = typedef_targets(aliases)
     level = settled(tags.select("tag").distinct(), "tags").select("tag", F.col("tag").alias("hop"), F.lit(0).alias("depth"), F.array("tag").alias("path"))
     out = level
-    for depth in range(1, max_hops):
+    for depth in count(1):
         step = level.join(targets, F.col("hop") == F.col("name")).where(~F.array_contains("path", F.col("target")))
         level = settled(step.select("tag", F.col("target").alias("hop"), F.lit(depth).alias("depth"),
                                     F.concat("path", F.array("target")).alias("path")), "tag-hops")
@@ -28,9 +28,9 @@ def typedef_closure(tags: DataFrame, aliases: DataFrame, max_hops: int = MAX_HOP
     return out.drop("path")
 
 
-def candidate_tags(tags: DataFrame, aliases: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+def candidate_tags(tags: DataFrame, aliases: DataFrame) -> DataFrame:
     """(tag, candidate, prio): hops in order, then the one-letter suffix variants of every hop; the earliest place wins."""
-    hops = typedef_closure(tags, aliases, max_hops)
+    hops = typedef_closure(tags, aliases)
     base = F.regexp_extract("hop", r"(?s)^(.*)_[a-z]\z", 1)
     has = F.col("hop").rlike(r"(?s)^.*_[a-z]\z")
     forms = F.when(has, F.array(*(F.concat(base, F.lit(s)) for s in SUFFIXES))).otherwise(F.array().cast("array<string>"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import graph, lookup, report, resolve, search
 from lodestone.operators.maintenance import Index, index_plan, schema_version, store_name
-from lodestone.operators.types import candidate_tags, chain_owners
+from lodestone.operators.types import candidate_tags, chain_owners, typedef_closure
 from lodestone.sources.scan import buffers, scan_files
 from lodestone.streaming.change_feed import CHANGES, apply_changes
 
@@ -151,3 +151,9 @@ def test_snippets_and_groups(spark):
     got = {(r.file, r.line): r.snippet for r in report.snippets(refs, files).collect()}
     assert got == {("a.c", 0): "int x;", ("a.c", 9): "line 10", ("b.c", 1): "two"}
     assert [(r.file, r.n_refs, [tuple(x) for x in r.refs]) for r in report.group_references(refs).collect()] == [("a.c", 2, [(0, 4), (9, 0)]), ("b.c", 1, [(1, 2)])]
+
+
+def test_typedef_chains_have_no_bound(spark):
+    aliases = spark.createDataFrame([(f"t{k}", f"t{k + 1}", "a.h", k) for k in range(66)], "name string, target string, file string, ord long")
+    got = typedef_closure(spark.createDataFrame([("t0",)], "tag string"), aliases).collect()
+    assert {(r.hop, r.depth) for r in got} == {(f"t{k}", k) for k in range(67)}
