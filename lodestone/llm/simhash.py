@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import connected_components, python_ready, written
+from ._util import connected_components, python_ready, scanned, written
 
 SEED = 42
 SHINGLE = 3
@@ -35,9 +35,9 @@ MAX_BITS = 3
 HOT = 4096
 #: Near copies: words of a shingle, and 64-bit words of a text's parity bitmap.
 SHORT, BITMAP = 5, 4
-#: The order of shingles: documents sampled for it, sampled occurrences that make a shingle common, and common ones listed.
-#: It decides how many candidates there are and never which copies are found.
-ORDER_DOCS, COMMON, LISTED = 20_000, 4, 200_000
+#: The order of shingles: one text in so many is counted for it, occurrences there that make a shingle common, and common ones
+#: listed at most (16 bytes each, broadcast). It decides how many candidates there are and never which copies are found.
+ORDER_SHARE, COMMON, LISTED = 4, 4, 2_000_000
 #: Buckets of a text's shingle counts, and candidate texts up to which their row ids are broadcast to the texts.
 BUCKETS, FEW_TEXTS = 256, 200_000
 
@@ -52,8 +52,14 @@ def fingerprint_of(raw: bytes | None, shingle: int = SHINGLE) -> int:
     else:
         grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(g, SEED) for g in grams), dtype=np.uint64)
-    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return majority(np.fromiter((digest(g, SEED) for g in grams), dtype=np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 for none."""
+    ones = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), "little")
 
 
@@ -175,6 +181,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 
     ``component`` is the smallest linked fingerprint (signed), ``component_id`` the smallest id with a linked one.
     """
+    docs = scanned(docs)
     rows = written(docs.select(F.monotonically_increasing_id().alias("place"), "doc_id",
                                fingerprint(F.col("text"), docs.sparkSession, shingle).alias("fp")), "simhash-docs")
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fps")
@@ -207,14 +214,14 @@ def shingles(text: Column, spark) -> Column:
     return of(text.cast("binary"))
 
 
-def verified(pairs: DataFrame, places: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``pairs(u, v)`` whose shingle sets, read again at ``places(node, place)`` of ``docs``, have a similarity of 0.8 or more."""
-    used = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    at = written(places.join(used, "node").select("node", "place"), "copies-used")
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of ``pairs(u, v)`` whose shingle sets, read again at these places of ``docs``, have a similarity of 0.8 or more."""
+    used = pairs.select(F.col("u").alias("place")).unionByName(pairs.select(F.col("v").alias("place"))).distinct()
+    at = written(used, "copies-used")
     at = F.broadcast(at) if at.count() <= FEW_TEXTS else at
     texts = docs.select(F.monotonically_increasing_id().alias("place"), "text").join(at, "place")
-    sets = written(texts.select("node", shingles(F.col("text"), docs.sparkSession).alias("s")), "copies-sets")
-    sides = [sets.select(F.col("node").alias(end), F.col("s").alias(f"s{end}")) for end in ("u", "v")]
+    sets = written(texts.select("place", shingles(F.col("text"), docs.sparkSession).alias("s")), "copies-sets")
+    sides = [sets.select(F.col("place").alias(end), F.col("s").alias(f"s{end}")) for end in ("u", "v")]
     both = F.size(F.array_intersect("su", "sv"))
     return pairs.join(sides[0], "u").join(sides[1], "v").where(9 * both >= 4 * (F.size("su") + F.size("sv"))).select("u", "v")
 
@@ -236,47 +243,46 @@ def countable(pairs: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
-    """The commonest shingles of a sample of ``docs``, rarest first."""
-    spark = docs.sparkSession
-    every = max(1, docs.count() // ORDER_DOCS)
-    sample = docs.select(F.monotonically_increasing_id().alias("place"), "text").where(F.pmod(F.xxhash64("place"), F.lit(every)) == 0)
-    counts = sample.select(F.explode(shingles(F.col("text"), spark)).alias("s")).groupBy("s").count().where(F.col("count") >= COMMON)
+    """The commonest shingles of a fixed share of ``docs``, rarest first."""
+    place = F.xxhash64(F.monotonically_increasing_id())
+    sample = docs.select(F.when(F.pmod(place, F.lit(ORDER_SHARE)) == 0, F.col("text")).alias("text")).where("text is not null")
+    counts = sample.select(F.explode(shingles(F.col("text"), docs.sparkSession)).alias("s")).groupBy("s").count().where(F.col("count") >= COMMON)
     listed = counts.orderBy(F.desc("count"), "s").limit(LISTED).toArrow()["s"].to_numpy()
     return listed[::-1].view(np.uint64)
 
 
+_SIGNATURE = f"a long, b long, n int, {', '.join(f'b{k} long' for k in range(BITMAP))}, counts binary, fp long, keys array<long>"
+
+
 def signature(text: Column, spark, common: np.ndarray) -> Column:
-    """node, n, b0, b1, …, counts, keys of a text column: a hash of its shingle set, the set's size, parity bitmap, bucket counts and prefix.
+    """a, b, n, b0, b1, …, counts, fp, keys of a text column: a 128-bit name of its shingle set, the set's size, parity bitmap, bucket
+    counts, SimHash fingerprint and prefix.
 
     The prefix is the n // 5 + 1 first shingles in an order of all: those not in ``common`` by hash, then ``common``.
     """
     python_ready(spark)
-    names = [f"b{k}" for k in range(BITMAP)]
     order = np.argsort(common, kind="stable")
     known = common[order]
-
-    @F.pandas_udf(f"node long, n int, {', '.join(f'{x} long' for x in names)}, counts binary, keys array<long>")
+    shared = spark.sparkContext.broadcast((known, order))
+
+    def one(raw: bytes | None) -> tuple:
+        s = shingles_of(raw)
+        known, order = shared.value
+        rank = np.zeros(len(s), dtype=np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+            rank = np.where(known[at] == s, order[at] + 1, 0)
+        held = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BUCKETS)
+        name = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64)
+        bits = np.packbits((held & 1).astype(np.uint8)).view(np.int64)
+        fp = np.array([majority(s)], dtype=np.uint64).view(np.int64)[0]
+        return (*name, len(s), *bits, np.minimum(held, 255).astype(np.uint8).tobytes(), fp, s[np.argsort(rank, kind="stable")[: len(s) // 5 + 1]].view(np.int64))
+
+    @F.pandas_udf(_SIGNATURE)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in _SIGNATURE.split(", ")]
         for batch in batches:
-            nodes, sizes, maps, counts, keys = [], [], [], [], []
-            for raw in batch:
-                s = shingles_of(raw)
-                rank = np.zeros(len(s), dtype=np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    rank = np.where(known[at] == s, order[at] + 1, 0)
-                held = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BUCKETS)
-                nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()))
-                sizes.append(len(s))
-                maps.append(np.packbits((held & 1).astype(np.uint8)).view(np.int64))
-                counts.append(np.minimum(held, 255).astype(np.uint8).tobytes())
-                keys.append(s[np.argsort(rank, kind="stable")[: len(s) // 5 + 1]].view(np.int64))
-            out = pd.DataFrame(np.array(maps, dtype=np.int64).reshape(-1, BITMAP), columns=names)
-            out.insert(0, "node", np.array(nodes, dtype=np.uint64).view(np.int64))
-            out.insert(1, "n", np.array(sizes, dtype=np.int32))
-            out["counts"] = pd.Series(counts, dtype=object)
-            out["keys"] = pd.Series(keys, dtype=object)
-            yield out
+            yield pd.DataFrame([one(raw) for raw in batch], columns=names).astype({c: "int64" for c in names if c not in ("counts", "keys", "n")})
 
     return of(text.cast("binary"))
 
@@ -285,22 +291,28 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """place, doc_id, component of every row of ``docs(doc_id, text)``: groups of near copies at 5-word similarity 0.8.
 
     Two texts link if the Jaccard similarity of their sets of 5-word shingles is 0.8 or more; components of links are
-    groups. The search is exact but for 64-bit hashes: two such sets share a shingle of their prefixes, which are the
-    n // 5 + 1 first of n shingles in any order of all. Here the order is rare before common, so that passages that many
-    texts hold bring few of them together. Candidates share a key, are of sizes that allow 0.8, and differ in no more
-    bits of parity bitmaps and bucket counts than their sets may differ in shingles; then the whole sets are compared.
-
-    Texts of the same shingles are one node, so groups of copies are never expanded. For groups of near copies, each key
-    first links its members with one of them, taken by a hash of key and node; after that only pairs of a key are
-    compared whose nodes aren't connected yet. No other pair is left out.
+    groups, named by the place of their first text. Multi-index hashing over SimHash fingerprints of the sets finds the
+    close ones; a fingerprint promises nothing about similarity, so its links are verified on the whole sets, and an
+    exact join finds what it missed: two such sets share a shingle of their prefixes, which are the n // 5 + 1 first of n
+    shingles in any order of all. Here the order is rare before common, so that passages that many texts hold bring few
+    of them together. Candidates share a key that can be the first that they share (what is left of either set from
+    there on must hold the overlap), are of sizes that allow 0.8, and differ in no more bits of parity bitmaps and bucket
+    counts than their sets may differ in shingles; then the whole sets are compared.
+
+    Texts of the same shingles (by a 128-bit name) are one node, so groups of copies are never expanded. For groups of
+    near copies, each key first links its members with one of them, taken by a hash of key and node; after that only
+    pairs of a key are compared whose nodes aren't connected yet. No other pair is left out.
     """
     spark = docs.sparkSession
+    docs = scanned(docs)
     bits = [f"b{k}" for k in range(BITMAP)]
     seen = docs.select(F.monotonically_increasing_id().alias("place"), "doc_id", signature(F.col("text"), spark, common_shingles(docs)).alias("s"))
     rows = written(seen.select("place", "doc_id", "s.*"), "copies-docs")
-    places = written(rows.groupBy("node").agg(F.min("place").alias("place")), "copies-nodes")
-    nodes = written(rows.join(places.select("place"), "place", "left_semi").select("node", "n", *bits, "counts", "keys"), "copies-sets")
-    keys = nodes.select("node", F.explode("keys").alias("key")).repartition("key")
+    named = written(rows.groupBy("a", "b").agg(F.min("place").alias("node")), "copies-nodes")
+    nodes = written(rows.join(named.select(F.col("node").alias("place")), "place", "left_semi").select(
+        F.col("place").alias("node"), "n", *bits, "counts", "fp", "keys"), "copies-sets")
+
+    keys = nodes.select("node", F.posexplode("keys").alias("pos", "key")).repartition("key")
     met = keys.groupBy("key").count().where(F.col("count") > 1).select("key")
     shared = keys.join(met, "key").withColumn("turn", F.xxhash64("key", "node"))
     shared = written(shared.join(nodes.select("node", "n", *bits), "node"), "copies-keys")
@@ -309,23 +321,36 @@ def near_copies(docs: DataFrame) -> DataFrame:
         return df.select("key", *(F.col(c).alias(f"{end}_{c}") for c in df.columns if c != "key"))
 
     apart = sum((F.bit_count(F.col(f"u_{x}").bitwiseXOR(F.col(f"v_{x}"))) for x in bits), F.lit(0))
-    able = (5 * F.least("u_n", "v_n") >= 4 * F.greatest("u_n", "v_n")) & (9 * apart <= F.col("u_n") + F.col("v_n"))
+    total = F.col("u_n") + F.col("v_n")
+    able = (5 * F.least("u_n", "v_n") >= 4 * F.greatest("u_n", "v_n")) & (9 * apart <= total) & (
+        9 * F.least(F.col("u_n") - F.col("u_pos"), F.col("v_n") - F.col("v_pos")) >= 4 * total)
     pair = [F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v")]
     first = shared.groupBy("key").agg(F.min("turn").alias("turn"))
     middle = side(shared.join(first, ["key", "turn"], "left_semi"), "u")
-    stars = written(middle.join(side(shared, "v"), "key").where((F.col("u_node") != F.col("v_node")) & able).select(*pair).distinct(), "copies-stars")
-    near = written(verified(written(countable(stars, nodes), "copies-pairs"), places, docs), "copies-near")
+    stars = middle.join(side(shared, "v"), "key").where((F.col("u_node") != F.col("v_node")) & able).select(*pair)
+    tried = written(stars.unionByName(fingerprint_pairs(nodes.select("node", "fp"))).distinct(), "copies-stars")
+    near = written(verified(written(countable(tried, nodes), "copies-pairs"), docs), "copies-near")
     groups = connected_components(near, "copies-links").withColumnRenamed("node", "node_")
-    named = shared.join(groups, F.col("node") == F.col("node_"), "left").select("key", "node", "n", *bits, F.coalesce("component", "node").alias("part"))
-    named = written(named, "copies-parts")
-    open_ = named.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    left = written(named.join(open_, "key"), "copies-open")
+    parts = shared.join(groups, F.col("node") == F.col("node_"), "left").select("key", "node", "pos", "n", *bits, F.coalesce("component", "node").alias("part"))
+    parts = written(parts, "copies-parts")
+    open_ = parts.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    left = written(parts.join(open_, "key"), "copies-open")
     rest = side(left, "u").join(side(left, "v"), "key").where((F.col("u_node") < F.col("v_node")) & (F.col("u_part") != F.col("v_part")) & able)
-    rest = written(rest.select(*pair).distinct().join(stars, ["u", "v"], "left_anti"), "copies-rest")
+    rest = written(rest.select(*pair).distinct().join(tried, ["u", "v"], "left_anti"), "copies-rest")
     rest = written(countable(rest, nodes), "copies-pairs")
-    groups = connected_components(near.unionByName(verified(rest, places, docs)), "copies-all")
-    of_node = groups.select(F.col("node").alias("node_"), F.col("component").alias("component_"))
-    return rows.join(of_node, F.col("node") == F.col("node_"), "left").select("place", "doc_id", F.coalesce("component_", "node").alias("component"))
+    groups = connected_components(near.unionByName(verified(rest, docs)), "copies-all")
+    of_name = named.join(groups.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left").select(
+        "a", "b", F.coalesce("component", "node").alias("component"))
+    return rows.join(of_name, ["a", "b"]).select("place", "doc_id", "component")
+
+
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """(u, v) pairs of ``nodes(node, fp)``: each with the first of its fingerprint, and the firsts of near fingerprints."""
+    firsts = written(nodes.groupBy("fp").agg(F.min("node").alias("first")), "copies-fps")
+    same = nodes.join(firsts, "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    ends = [firsts.select(F.col("fp").alias(f"{e}_fp"), F.col("first").alias(e)) for e in ("x", "y")]
+    near = links(firsts.select("fp")).toDF("x_fp", "y_fp").join(ends[0], "x_fp").join(ends[1], "y_fp")
+    return same.unionByName(near.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")))
 
 
 def first_of_each(docs: DataFrame, parts: DataFrame | None = None) -> DataFrame:
@@ -333,6 +358,7 @@ def first_of_each(docs: DataFrame, parts: DataFrame | None = None) -> DataFrame:
 
     ``parts`` is what ``near_duplicates`` (the default) or ``near_copies`` gives for ``docs``.
     """
+    docs = scanned(docs)
     parts = near_duplicates(docs) if parts is None else parts
     best = parts.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place")).alias("best"))
     keep = best.select(F.col("best.place").alias("place_"))
