@@ -15,7 +15,8 @@ class Facts:
     calls: list[dict] = field(default_factory=list)
     locals: list[dict] = field(default_factory=list)
     aliases: list[dict] = field(default_factory=list)
-    error_chars: int = 0
+    #: What kept the parser from reading the file, for facts of the line scanner.
+    parse_error: str | None = None
 
     def symbol(self, name: str, kind: str, line: int, col: int, *, definition: bool = True, scope: str = "", data_type: str = "",
                decl_type: str = "", signature: str = "", return_type: str = "", storage: str = "", arity: int | None = None,

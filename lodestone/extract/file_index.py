@@ -25,6 +25,10 @@ from .grep_scan import grep_scan
 from .parser import parse
 
 
+#: Characters of source text whose records are handed on at once.
+OUT_CHARS = 1 << 18
+
+
 class ParseTimeout(Exception):
     pass
 
@@ -53,16 +57,22 @@ def content_hash(text: str) -> str:
 
 
 def facts_of(path: str, text: str, lang: str | None, options: IndexOptions) -> Facts:
-    facts = None
+    facts, error = None, None
     if lang is not None and len(text.encode("utf-8", "surrogatepass")) <= options.max_file_size_kb * 1024:
         try:
             with deadline(options.parse_timeout_ms):
                 p = parse(text, path, lang)
             if p.error_ratio <= options.error_ratio_threshold:
                 facts = p.facts
-        except (ParseTimeout, RecursionError, IndexError, KeyError, ValueError):
-            facts = None
-    facts = grep_scan(text) if facts is None else facts
+            else:
+                error = f"unread: {p.error_ratio:.2f}"
+        except Exception as e:  # noqa: BLE001  whatever a parser trips over, the file still has its lines
+            error = f"{type(e).__name__}: {e}"
+    elif lang is not None:
+        error = "too large"
+    if facts is None:
+        facts = grep_scan(text)
+        facts.parse_error = error
     macro_vars.apply(facts, text)
     return facts
 
@@ -70,7 +80,8 @@ def facts_of(path: str, text: str, lang: str | None, options: IndexOptions) -> F
 def index_file(path: str, text: str, lang: str | None = None, options: IndexOptions | None = None, mtime: int = 0) -> dict:
     """The record of one file; ``lang`` defaults to that of the path's ending."""
     facts = facts_of(path, text, lang or language_of(path), options or IndexOptions())
-    return {"path": path, "hash": content_hash(text), "mtime": mtime, "parsed_by": facts.source} | {k: getattr(facts, k) for k in FACTS}
+    return {"path": path, "hash": content_hash(text), "mtime": mtime, "parsed_by": facts.source,
+            "parse_error": facts.parse_error} | {k: getattr(facts, k) for k in FACTS}
 
 
 def extract(files: DataFrame, options: IndexOptions | None = None) -> DataFrame:
@@ -81,9 +92,15 @@ def extract(files: DataFrame, options: IndexOptions | None = None) -> DataFrame:
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            # One row at a time: a record can be many times its text.
+            ready, size = [], 0
             for path, text, mtime in zip(pdf["path"], pdf["text"], pdf["mtime"], strict=True):
-                yield pd.DataFrame([index_file(path, text, options=options, mtime=int(mtime))])
+                ready.append(index_file(path, text, options=options, mtime=int(mtime)))
+                size += len(text)
+                if size >= OUT_CHARS:  # a record can be many times its text
+                    yield pd.DataFrame(ready)
+                    ready, size = [], 0
+            if ready:
+                yield pd.DataFrame(ready)
 
     wanted = files.where("text is not null and path is not null").select("path", "text", F.coalesce(F.col("mtime"), F.lit(0)).cast("long").alias("mtime"))
     return wanted.mapInPandas(of, FILE_INDEX)

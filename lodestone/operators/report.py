@@ -42,11 +42,31 @@ def group_references(refs: DataFrame, keys: list[str] | None = None) -> DataFram
 def snippets(places: DataFrame, files: DataFrame) -> DataFrame:
     """Adds ``snippet`` to ``places(file, line)``: the trimmed source line of ``files(path, text)``, or ``line N``.
 
-    A line is cut out of the text where the place is; files are not split into rows of lines.
+    Places are gathered by file first: a text meets the list of its lines once, and is split once.
     """
-    joined = places.join(files.select(F.col("path").alias("p_"), "text"), F.col("file") == F.col("p_"), "left")
-    text = F.trim(F.regexp_replace(F.get(F.split("text", r"\r\n|\r|\n"), F.col("line").cast("int")), r"^\s+|\s+$", ""))
-    return joined.withColumn("snippet", F.coalesce(F.nullif(text, F.lit("")), F.concat(F.lit("line "), (F.col("line") + 1).cast("string")))).drop("p_", "text")
+    wanted = places.groupBy("file").agg(F.collect_set("line").alias("lines_"))
+    joined = wanted.join(files.select(F.col("path").alias("p_"), "text"), F.col("file") == F.col("p_"))
+
+    def cut(lines: Column) -> Column:
+        return F.transform("lines_", lambda n: F.struct(n.alias("l_"), F.regexp_replace(F.get(lines, n.cast("int")), r"^\s+|\s+$", "").alias("cut_")))
+
+    # The split text is bound as a lambda's variable: named twice in a plan, it could be split again for each line.
+    cuts = F.flatten(F.transform(F.array(F.split("text", r"\r\n|\r|\n")), cut))
+    shown = joined.select(F.col("file").alias("f_"), F.explode(cuts).alias("row")).select("f_", "row.*")
+    at = places.join(shown, (F.col("file") == F.col("f_")) & (F.col("line") == F.col("l_")), "left")
+    return at.withColumn("snippet", F.coalesce(F.nullif("cut_", F.lit("")), line_label(F.col("line")))).drop("f_", "l_", "cut_")
+
+
+def line_label(line: Column) -> Column:
+    return F.concat(F.lit("line "), (line + 1).cast("string"))
+
+
+def call_site_cursors(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Cursors at the call sites of ``rows(name, file, line, col)``, numbered by place."""
+    lines = F.split("text", r"\r\n|\r|\n")
+    sites = rows.select("file", "line", "col").distinct().join(files.select(F.col("path").alias("file"), "text"), "file")
+    return sites.select(F.xxhash64("file", "line", "col").alias("req_id"), "file", "line", F.col("col").alias("character"),
+                        F.coalesce(F.get(lines, F.col("line").cast("int")), F.lit("")).alias("line_text"))
 
 
 def dedupe_locations(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -115,8 +135,11 @@ def type_info(requests: DataFrame, symbols: DataFrame, local_rows: DataFrame, al
 
 
 def code_insight(cursors: DataFrame, symbols: DataFrame, refs: DataFrame, local_rows: DataFrame, aliases: DataFrame, calls: DataFrame,
-                 hidden: frozenset[str] = frozenset()) -> DataFrame:
-    """(req_id, category, label, value, file, line, col) of all seven categories of each cursor; empty ones give no rows."""
+                 hidden: frozenset[str] = frozenset(), hide_empty: bool = True) -> DataFrame:
+    """(req_id, category, label, value, file, line, col) of all seven categories of each cursor.
+
+    Empty categories give no rows, or without ``hide_empty`` one row of nulls.
+    """
     req = _requests(cursors, symbols, refs, local_rows, aliases)
     shape = ["req_id", "category", "label", "value", "file", "line", "col"]
 
@@ -138,7 +161,11 @@ def code_insight(cursors: DataFrame, symbols: DataFrame, refs: DataFrame, local_
         out = out.unionByName(rows.select("req_id", F.lit(category).alias("category"), F.col("name").alias("label"),
                                           F.when(F.col("recursive"), "recursive").otherwise("").alias("value"), "file", "line", "col"))
     out = out.unionByName(places(references_at(req, symbols, refs, local_rows, aliases), "References", F.col("role")))
-    return out.where(~F.col("category").isin(*hidden)) if hidden else out
+    out = out.where(~F.col("category").isin(*hidden)) if hidden else out
+    if hide_empty:
+        return out
+    every = cursors.select("req_id", F.explode(F.array(*(F.lit(c) for c in CATEGORIES if c not in hidden))).alias("category"))
+    return every.join(out, ["req_id", "category"], "left").select(*shape)
 
 
 def category_counts(insight: DataFrame) -> DataFrame:

@@ -74,12 +74,12 @@ def chain_owners(chains: DataFrame, symbols: DataFrame, local_rows: DataFrame, a
         F.min_by("data_type", place).alias("global_type"))
     returns = symbols.where("kind in ('function', 'prototype') and return_type <> ''").groupBy("name").agg(
         F.min_by("return_type", F.struct(~F.col("is_definition"), place)).alias("return_type"))
-    named = keyed.withColumn("root", root).withColumn("called", F.when(root.startswith("@call:"), F.substring(root, 7, 1_000_000)))
+    named = keyed.withColumn("root", root).withColumn("called", F.when(root.startswith("@call:"), F.substr(root, F.lit(7))))
     typed = (named.join(local_types.withColumnsRenamed({"file": "f_", "func": "g_", "name": "n_"}),
                         (F.col("file") == F.col("f_")) & (F.col("func") == F.col("g_")) & (F.col("root") == F.col("n_")), "left")
              .join(global_types.withColumnRenamed("name", "v_"), F.col("root") == F.col("v_"), "left")
              .join(returns.withColumnRenamed("name", "c_"), F.col("called") == F.col("c_"), "left"))
-    tag = (F.when(root.startswith("@type:"), F.substring(root, 7, 1_000_000)).when(F.col("called").isNotNull(), aggregate_tag(F.col("return_type")))
+    tag = (F.when(root.startswith("@type:"), F.substr(root, F.lit(7))).when(F.col("called").isNotNull(), aggregate_tag(F.col("return_type")))
            .otherwise(F.coalesce("local_type", "global_type")))
     state = settled(typed.select("k", "file", "func", "chain", tag.alias("tag")), "chains")
     longest = state.agg(F.max(F.size("chain"))).first()[0] or 0

@@ -27,6 +27,10 @@ class IndexOptions:
     strict_compat: bool = True
     hidden_categories: frozenset[str] = field(default_factory=frozenset)
     hide_empty: bool = True
+    #: Tasks that parse at once; None leaves it to the session's shuffle partitions.
+    workers: int | None = None
+    #: How long a question waits for a running build.
+    defer_queries_ms: int = 1500
 
 
 def language_of(path: str) -> str | None:

@@ -29,7 +29,7 @@ LOCAL = _struct("ord int, name string, kind string, func string, line int, col i
 ALIAS = _struct("ord int, name string, target string")
 FILE_INDEX = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("hash", T.StringType()), T.StructField("mtime", T.LongType()),
-    T.StructField("parsed_by", T.StringType()),
+    T.StructField("parsed_by", T.StringType()), T.StructField("parse_error", T.StringType()),
     T.StructField("symbols", T.ArrayType(SYMBOL)), T.StructField("refs", T.ArrayType(REF)), T.StructField("calls", T.ArrayType(CALL)),
     T.StructField("locals", T.ArrayType(LOCAL)), T.StructField("aliases", T.ArrayType(ALIAS)),
 ])

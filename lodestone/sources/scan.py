@@ -24,11 +24,11 @@ def scan_files(spark: SparkSession, root: str, options: IndexOptions | None = No
     """
     options = options or IndexOptions()
     endings = ",".join(sorted({e for x in options.extensions for e in (x.lstrip("."), x.lstrip(".").upper())}))
-    rows = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("ignoreMissingFiles", True)
-            .option("ignoreCorruptFiles", True).option("pathGlobFilter", "*.{" + endings + "}").text(root))
+    rows = (spark.read.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
+            .text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{" + endings + "}"))
     base = root.rstrip("/").removeprefix("file://").removeprefix("file:")
     absolute = F.regexp_replace(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), r"^file:/+", "/")
-    relative = F.substring(absolute, len(base) + 2, 1_000_000)
+    relative = F.substr(absolute, F.lit(len(base) + 2))
     files = rows.select(relative.alias("path"), F.col("value").alias("text"),
                         (F.unix_millis("_metadata.file_modification_time")).cast("long").alias("mtime"))
     rules = rules_of(options.include, options.exclude)

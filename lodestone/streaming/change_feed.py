@@ -1,8 +1,9 @@
-"""File changes as a stream: within a batch the newest change of a path wins, and each batch is one new index version.
+"""File changes as a stream: the newest change of a path wins, within a batch and over all batches.
 
 A change is (path, seq, op, text, mtime) with op ``upsert`` or ``delete``. Upserts of excluded paths are dropped; deletes
-are always applied. Replace-by-file isn't an append, so the sink is ``foreachBatch`` over versioned tables: a batch that
-is run again after a failure finds nothing newer to do, because unchanged files keep their hash.
+are always applied. The index keeps the ``seq`` of each path's last change, also of deleted ones, so a change that comes
+late is left out. Replace-by-file isn't an append, so the sink is ``foreachBatch`` over versioned tables: a batch that is
+run again after a failure finds nothing newer to do. All state is on disk, named by batch; a restart goes on from it.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.maintenance import Index
 from ..options import IndexOptions
 from ..sources.exclusion import excluded, rules_of
+from ..storage import settled
 
 CHANGES = "path string, seq long, op string, text string, mtime long"
 
@@ -29,11 +31,14 @@ def apply_changes(index_path: str, changes: DataFrame, options: IndexOptions | N
     spark = changes.sparkSession
     options = options or IndexOptions()
     last = newest(changes)
+    now = Index.open(spark, index_path)
+    if now is not None:
+        last = settled(last.join(now.touched.select("path", F.col("seq").alias("had_")), "path", "left").where("had_ is null or seq > had_").drop("had_"), "changes")
     kept = last.where("op <> 'delete'").where(~excluded(F.col("path"), rules_of(options.include, options.exclude)))
-    gone = last.where("op = 'delete'").select("path")
+    gone = last.where("op = 'delete'").select("path", "seq")
     if last.isEmpty():
-        return Index.open(spark, index_path)
-    return Index.build(spark, index_path, kept.select("path", "text", "mtime"), options, partial=True, removed=gone)
+        return now
+    return Index.build(spark, index_path, kept.select("path", "text", "mtime", "seq"), options, partial=True, removed=gone)
 
 
 def follow(changes: DataFrame, index_path: str, checkpoint: str, options: IndexOptions | None = None, seconds: float | None = None) -> StreamingQuery:
@@ -51,18 +56,29 @@ def merge_state(state: DataFrame | None, changes: DataFrame) -> DataFrame:
     return last if state is None else newest(state.unionByName(last))
 
 
+def _states(spark: SparkSession, state_path: str) -> list[int]:
+    """Batches whose state is complete, in order."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    p = hadoop.Path(state_path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n) for n in names if n.isdigit() and fs.exists(hadoop.Path(f"{state_path}/{n}/_SUCCESS")))
+
+
 def replay(spark: SparkSession, changes: DataFrame, state_path: str, checkpoint: str) -> DataFrame:
-    """Runs a change stream to its end, batch by batch, into versioned state tables; the final state."""
-    done: list[str] = []
+    """Runs a change stream to its end, batch by batch, into state tables named by batch; the last state.
 
+    A batch merges into the last state of an earlier batch, so one that is run again after a failure gives the same; only
+    the two last states stay.
+    """
     def batch(df: DataFrame, n: int) -> None:
-        path = f"{state_path}/{n}"
-        state = df.sparkSession.read.parquet(done[-1]) if done else None
-        merge_state(state, df).write.mode("overwrite").parquet(path)
-        done.append(path)
+        before = [k for k in _states(df.sparkSession, state_path) if k < n]
+        state = df.sparkSession.read.parquet(f"{state_path}/{before[-1]}") if before else None
+        merge_state(state, df).write.mode("overwrite").parquet(f"{state_path}/{n}")
+        for k in before[:-1]:
+            Index._drop(df.sparkSession, f"{state_path}/{k}")
 
     query = changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(done[-1]) if done else changes.sparkSession.createDataFrame([], changes.schema)
-
-
+    done = _states(spark, state_path)
+    return spark.read.parquet(f"{state_path}/{done[-1]}") if done else spark.createDataFrame([], changes.schema)

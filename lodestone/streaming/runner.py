@@ -13,7 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 class LatestRunner:
     """Runs one task at a time; a newer request cancels the running one's Spark jobs and skips those still waiting.
 
-    A cancelled build leaves no version behind, so readers see the last one that ended.
+    A cancelled build leaves no version behind, so readers see the last one that ended; its folder goes with it, or with
+    the next ``vacuum``.
     """
 
     def __init__(self, spark: SparkSession, name: str = "index-run"):
@@ -48,6 +49,13 @@ class LatestRunner:
             self._newest += 1
             self._spark.sparkContext.cancelJobGroup(f"{self._name}-{self._newest - 1}")
 
+    def wait(self, timeout_ms: int) -> bool:
+        """Waits until nothing runs, at most so long; true if nothing does. 0 or less doesn't wait."""
+        free = self._lock.acquire(timeout=timeout_ms / 1000) if timeout_ms > 0 else self._lock.acquire(blocking=False)
+        if free:
+            self._lock.release()
+        return free
+
 
 def wait_idle(query: StreamingQuery, timeout_ms: int) -> bool:
     """Waits until a change stream has taken in what there is, at most so long; true if it has. 0 or less doesn't wait."""

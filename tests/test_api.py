@@ -17,6 +17,9 @@ def test_facade(spark, tmp_path):
     rows = ix.definition("a.c", 1, 25, "int run(void) { return helper(1); }").collect()
     assert [(r.file, r.line, r.status) for r in rows] == [("a.c", 0, "hit")]
     assert [r.label for r in ix.search("hel").collect()] == ["helper"] and [r.name for r in ix.calls("helper").collect()] == ["run"]
+    files = spark.createDataFrame([("a.c", (tree / "a.c").read_text())], "path string, text string")
+    again = ix.insight_of_calls("helper", files).collect()
+    assert {r.label for r in again if r.category == "Definition"} == {"a.c:1"} and {r.label for r in again if r.category == "Called by"} == {"run"}
     ix.update_buffer("a.c", "int other;", 5)
     assert [r["name"] for r in ix.symbols("other").collect()] == ["other"] and ix.symbols("helper").count() == 0
     ix.remove("a.c")

@@ -7,7 +7,7 @@ from lodestone.operators import graph, lookup, report, resolve, search
 from lodestone.operators.maintenance import Index, index_plan, schema_version, store_name
 from lodestone.operators.types import candidate_tags, chain_owners, typedef_closure
 from lodestone.sources.scan import buffers, scan_files
-from lodestone.streaming.change_feed import CHANGES, apply_changes
+from lodestone.streaming.change_feed import CHANGES, apply_changes, replay
 
 TREE = {
     "types.h": "struct A_s { int field; struct Inner_s *rtf; };\nstruct B_s { int field; };\nstruct Inner_s { int migrationType; };\n"
@@ -135,14 +135,14 @@ def test_plan(spark):
 
 
 def test_scan_files(spark, tmp_path):
-    for name, text in (("src/a.c", "int a;"), ("src/b.txt", "no"), ("gen/c.h", "int c;"), ("my dir/d+e.cpp", "int d;")):
+    for name, text in (("src/a.c", "int a;\n\nint b;\n"), ("src/b.txt", "no"), ("gen/c.h", "int c;"), ("my dir/d+e.cpp", "int d;")):
         p = tmp_path / "tree" / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(text)
     from lodestone.options import IndexOptions
 
     rows = scan_files(spark, str(tmp_path / "tree"), IndexOptions(exclude=("gen/**",))).collect()
-    assert sorted((r.path, r.text) for r in rows) == [("my dir/d+e.cpp", "int d;"), ("src/a.c", "int a;")] and all(r.mtime > 10**12 for r in rows)
+    assert sorted((r.path, r.text) for r in rows) == [("my dir/d+e.cpp", "int d;"), ("src/a.c", "int a;\n\nint b;\n")] and all(r.mtime > 10**12 for r in rows)
 
 
 def test_snippets_and_groups(spark):
@@ -157,3 +157,85 @@ def test_typedef_chains_have_no_bound(spark):
     aliases = spark.createDataFrame([(f"t{k}", f"t{k + 1}", "a.h", k) for k in range(66)], "name string, target string, file string, ord long")
     got = typedef_closure(spark.createDataFrame([("t0",)], "tag string"), aliases).collect()
     assert {(r.hop, r.depth) for r in got} == {(f"t{k}", k) for k in range(67)}
+
+
+def names_of(ix):
+    return sorted(r["name"] for r in ix.symbols.collect())
+
+
+def test_failed_and_rival_builds_leave_the_index_usable(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "ix")
+    one = [("a.c", "int a;", 1)]
+    (tmp_path / "ix" / "data" / "debris" / "plan").mkdir(parents=True)
+    with monkeypatch.context() as m:
+        m.setattr("lodestone.operators.maintenance.parent_links", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            Index.build(spark, path, buffers(spark, one))
+    assert Index.open(spark, path) is None and [p.name for p in (tmp_path / "ix" / "data").iterdir()] == ["debris"]
+    Index.build(spark, path, buffers(spark, one))
+    publish = Index._publish.__func__
+
+    def late(cls, s, p, version, schema, folders):
+        if not done:
+            done.append(True)
+            Index.build(spark, path, buffers(spark, [("b.c", "int b;", 1)]), partial=True)
+        return publish(cls, s, p, version, schema, folders)
+
+    done = []
+    monkeypatch.setattr(Index, "_publish", classmethod(late))
+    with pytest.raises(RuntimeError, match="another build"):
+        Index.build(spark, path, buffers(spark, [("c.c", "int c;", 1)]), partial=True)
+    assert names_of(Index.open(spark, path)) == ["a", "b"]
+    assert Index.vacuum(spark, path, keep=1, older_than_s=0) == ["debris"] and names_of(Index.open(spark, path)) == ["a", "b"]
+
+
+def test_stopped_build_keeps_what_is_parsed(spark, tmp_path):
+    path, files = str(tmp_path / "ix"), [(f"f{k}.c", f"int v{k};", 1) for k in range(30)]
+    asked = []
+    part = Index.build(spark, path, buffers(spark, files), stop=lambda: asked.append(1) or len(asked) > 3)
+    have = names_of(part)
+    assert 0 < len(have) < 30 and part.files.count() == len(have)
+    assert len(names_of(Index.build(spark, path, buffers(spark, files)))) == 30
+    assert names_of(Index.build(spark, str(tmp_path / "none"), buffers(spark, files), stop=lambda: True)) == []
+
+
+def test_deltas_and_their_compaction(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("lodestone.operators.maintenance.MOST_DELTAS", 2)
+    path = str(tmp_path / "ix")
+    Index.build(spark, path, buffers(spark, [("s.h", "struct S { int f; };", 1), ("a.c", "int a0;", 1)]))
+    sizes = []
+    for k in range(1, 5):
+        ix = Index.build(spark, path, buffers(spark, [("a.c", f"int a{k};\nstruct S {{ int g{k}; }};", k + 1)]), partial=True)
+        sizes.append(len(ix.folders))
+        assert names_of(ix) == sorted(["S", "S", f"a{k}", "f", f"g{k}"])
+        ids = {r["file"]: r["id"] for r in ix.symbols.where("name = 'S'").collect()}
+        assert {r["parent_id"] for r in ix.symbols.where("kind = 'field'").collect()} <= set(ids.values())
+    assert sizes == [2, 3, 1, 2]
+
+
+def test_late_changes_are_left_out(spark, tmp_path):
+    path = str(tmp_path / "ix")
+
+    def change(*rows):
+        return apply_changes(path, spark.createDataFrame(list(rows), CHANGES))
+
+    change(("a.c", 5, "upsert", "int newer;", 2), ("b.c", 5, "upsert", "int b;", 2))
+    change(("b.c", 6, "delete", None, None))
+    assert names_of(change(("a.c", 3, "upsert", "int older;", 1), ("b.c", 4, "upsert", "int b;", 1))) == ["newer"]
+    assert names_of(change(("b.c", 7, "upsert", "int back;", 1))) == ["back", "newer"]
+
+
+def test_replay_goes_on_after_a_restart(spark, tmp_path):
+    rows = [("a", 1), ("b", 2), ("a", 3)]
+
+    def feed(*some):
+        spark.createDataFrame([(p, n, "upsert", f"{p}{n}", n) for p, n in some], CHANGES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        changes = spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        return {r.path: r.text for r in replay(spark, changes, str(tmp_path / "state"), str(tmp_path / "checkpoint")).collect()}
+
+    feed(*rows)
+    assert run() == {"a": "a3", "b": "b2"} == run()
+    feed(("c", 9), ("a", 2))
+    assert run() == {"a": "a3", "b": "b2", "c": "c9"} == run()

@@ -40,7 +40,7 @@ def test_grep_word_agrees_with_masks(text):
 
 
 @pytest.mark.parametrize(("text", "want"), [("()", 0), ("(a)", 1), ("(a, b)", 2), ("(f(x, y), z, w)", 3), ('(a, "x, y")', 2), ("([a, b], {c, d}, e)", 3), (" x", None), ("(a, b", None),
-                                            ("(\")\"", None), ("(',', x)", 2)])
+                                            ("(\")\"", None), ("(',', x)", 2), ("(,)", 0), ("( , ,)", 0), ("(a,)", 2)])
 def test_call_arguments(text, want):
     assert lx.count_call_args(text) == want
 
