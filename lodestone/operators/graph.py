@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .maintenance import first_by
+from ..storage import settled
 
 FILE_SCOPE = "(file scope)"
 
@@ -14,7 +14,8 @@ def neighbours(calls: DataFrame, direction: str) -> DataFrame:
     """(parent, name, file, line, col): the first call site of each neighbour, in direction ``callers`` or ``callees``."""
     parent, other = ("callee", "caller") if direction == "callers" else ("caller", "callee")
     rows = calls.select(F.col(parent).alias("parent"), F.coalesce(F.col(other), F.lit(FILE_SCOPE)).alias("name"), "file", "line", "col", "ord")
-    return first_by(rows.where("parent is not null"), ["parent", "name"], ["file", "ord"]).drop("ord")
+    first = F.min_by(F.struct("file", "line", "col"), F.struct("file", "ord")).alias("at")
+    return rows.where("parent is not null").groupBy("parent", "name").agg(first).select("parent", "name", "at.*")
 
 
 def call_children(calls: DataFrame, direction: str, parents: DataFrame) -> DataFrame:
@@ -40,6 +41,7 @@ def call_relations(calls: DataFrame, direction: str, requests: DataFrame) -> Dat
 def call_tree(calls: DataFrame, direction: str, roots: DataFrame, depth: int) -> DataFrame:
     """(root, depth, path, name, file, line, col, recursive) of the trees below ``roots(root)``, ``depth`` levels deep."""
     edges = neighbours(calls, direction)
+    edges = settled(edges, "edges") if depth > 1 else edges  # every level joins them
     level = roots.select("root", F.col("root").alias("at_"), F.array("root").alias("path"))
     out = None
     for k in range(1, depth + 1):

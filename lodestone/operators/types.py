@@ -13,10 +13,41 @@ from ..storage import settled
 from .lookup import typedef_targets
 
 
+#: Typedef hops in all up to which chains are followed on the driver and broadcast; beyond it, one join follows each hop.
+FEW_HOPS = 200_000
+
+
 def typedef_closure(tags: DataFrame, aliases: DataFrame) -> DataFrame:
     """(tag, hop, depth): each distinct ``tags(tag)`` and the typedef targets it leads to; cycles end."""
-    targets = typedef_targets(aliases)
-    level = settled(tags.select("tag").distinct(), "tags").select("tag", F.col("tag").alias("hop"), F.lit(0).alias("depth"), F.array("tag").alias("path"))
+    targets = settled(typedef_targets(aliases), "targets")
+    known = tags.select("tag").distinct()
+    chains = _chains(targets)
+    if chains is None:
+        return _closure_by_joins(known, targets)
+    here = known.sparkSession.createDataFrame(chains, "name string, hops array<string>")
+    hops = known.join(F.broadcast(here), F.col("tag") == F.col("name"), "left")
+    return hops.select("tag", F.posexplode(F.concat(F.array("tag"), F.coalesce("hops", F.array().cast("array<string>")))).alias("depth", "hop")).select("tag", "hop", "depth")
+
+
+def _chains(targets: DataFrame) -> list[tuple[str, list[str]]] | None:
+    """The hops of every typedef name, or None if there are more of them than a driver should hold."""
+    if targets.count() > FEW_HOPS:
+        return None
+    to = {r["name"]: r["target"] for r in targets.collect()}
+    out, held = [], 0
+    for name in to:
+        path = [name]
+        while (nxt := to.get(path[-1])) is not None and nxt not in path:
+            path.append(nxt)
+            held += 1
+            if held > FEW_HOPS:
+                return None
+        out.append((name, path[1:]))
+    return out
+
+
+def _closure_by_joins(known: DataFrame, targets: DataFrame) -> DataFrame:
+    level = settled(known, "tags").select("tag", F.col("tag").alias("hop"), F.lit(0).alias("depth"), F.array("tag").alias("path"))
     out = level
     for depth in count(1):
         step = level.join(targets, F.col("hop") == F.col("name")).where(~F.array_contains("path", F.col("target")))

@@ -18,6 +18,11 @@ SOURCES = {
     "main.c": "#include \"point.h\"\nenum mode { FAST, SLOW };\nstatic int run(point_t *p) {\n    if (!p) goto done;\n    return area(p, SLOW) + run(p->next);\ndone:\n    return origin.x;\n}\n"
               "int main(void) { return run(&origin); }\n",
     "wrapped.c": "U32 SECTION_VAR(gCounter, 4);\npoint_t PLACED(ALIGNED(gTable[8], 4), FAST);\nvoid RESET(void);\n",
+    "odd.c": "typedef void (*hook_t)(int code);\nvoid (*on_exit)(int);\nextern int level;\n"
+             "struct reg { unsigned on : 1; unsigned : 3; union { int raw; struct { char lo; } half; }; } __packed;\nstruct reg bank = { .on = 1, .half = { .lo = 2 } };\n"
+             "static int __init probe(struct reg *r, ...) {\n  return ((struct reg *)r)->half.lo + pick(r)->on;\n}\n",
+    "geo.hpp": "namespace geo {\nclass Shape {\npublic:\n  int sides() { return this->n; }\n  bool operator==(const Shape& o);\n  int n;\n};\nusing Count = unsigned;\n"
+               "template<typename T> T twice(T v) { return v + v; }\n}\nextern \"C\" { int c_api(int a); }\ngeo::Shape::~Shape() { release(this); }\n",
 }
 CURSORS = [("point.c", 4, "x *"), ("point.c", 5, "next"), ("main.c", 4, "area"), ("main.c", 6, "origin"), ("point.h", 2, "y"), ("main.c", 3, "done"), ("main.c", 8, "run")]
 
@@ -27,8 +32,23 @@ def _indexed(spark: SparkSession, grep: bool = False) -> DataFrame:
     return extract(rows, IndexOptions(max_file_size_kb=0 if grep else 2048))
 
 
+#: Columns of the fixture queries; object chains are shown as text.
+COLUMNS = {
+    "symbols": "file, name, kind, line, col, is_definition, scope, data_type, decl_type, signature, return_type, storage, arity, param_types",
+    "refs": "file, line, col, name, role, is_local, enclosing_func, owner, obj_chain",
+    "calls": "file, line, col, caller, callee",
+    "locals": "file, func, name, kind, line, col, data_type, decl_type",
+    "aliases": "file, name, target",
+}
+
+
 def facts(spark: SparkSession, part: str, grep: bool = False) -> DataFrame:
-    return relation(_indexed(spark, grep), part)
+    from pyspark.sql import functions as F
+
+    rows = relation(_indexed(spark, grep), part)
+    if part == "refs":
+        rows = rows.withColumn("obj_chain", F.array_join("obj_chain", " "))
+    return rows.select(*COLUMNS[part].split(", "))
 
 
 def run(spark: SparkSession, what: str) -> DataFrame:

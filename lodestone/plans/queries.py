@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..extract.file_index import content_hash
 from ..operators import graph, lookup, maintenance, report, resolve, search, text, types
+from ..session import ship_package
 from ..sources import exclusion
 from ..storage import settled, shared_folder
 from ..streaming.change_feed import replay
-from . import fixtures
+from . import fixtures, golden
 from .relations import FILES, PREFIX, relation
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,10 +126,9 @@ def _parent_link(spark, sf):
   where p.name in (select name from symbols where kind = 'typedef' and is_definition)""")
 def _parent_prefers(spark, sf):
     symbols = _(spark, sf, "symbols")
-    parents = symbols.where(F.col("kind").isin(*maintenance.AGGREGATE_KINDS) & F.col("is_definition") & (F.col("name") != ""))
-    best = parents.groupBy("name").agg(F.min_by(F.struct("id", "kind"), F.struct(F.col("kind") == "typedef", "id")).alias("b"))
-    typed = symbols.where("kind = 'typedef' and is_definition").select("name").distinct()
-    return best.join(typed, "name", "left_semi").select("name", F.col("b.id").alias("parent_id"), F.col("b.kind").alias("kind"))
+    typed = symbols.where("kind = 'typedef' and is_definition").select(F.col("name").alias("scope")).distinct()
+    linked = maintenance.parent_links(typed.withColumn("id", F.lit(0)), known=symbols).where("parent_id is not null")
+    return linked.join(symbols.select(F.col("id").alias("parent_id"), "kind"), "parent_id").select(F.col("scope").alias("name"), "parent_id", "kind")
 
 
 @query("replace_by_file", f"select {_SYM} from symbols where file not in (select file from symbols where id % 10 = 0) union all "
@@ -232,11 +234,9 @@ _OWNED = """, asked as (select distinct data_type as tag from symbols where data
 def _fields_of_type(spark, sf):
     symbols, aliases = _(spark, sf, "symbols", "aliases")
     asked = symbols.where("data_type <> ''").select(F.col("data_type").alias("tag")).distinct()
-    tags = types.candidate_tags(asked, aliases)
     fields = symbols.where("kind = 'field' and is_definition").select("id", "scope")
-    first = tags.select("tag", "candidate", "prio").join(fields, F.col("candidate") == F.col("scope"))
-    w = Window.partitionBy("tag")
-    return first.withColumn("best", F.min("prio").over(w)).where("prio = best").select("tag", "id")
+    candidates = types.candidate_tags(asked, aliases)
+    return types.fields_of_type(asked.join(candidates, "tag").select("tag", F.col("candidate").alias("scope")).join(fields, "scope"), candidates, ["tag"]).select("tag", "id")
 
 
 _CHAIN_ROOT = """, ch as (select distinct file, enclosing_func as func, root, name as hop from refs where root <> ''),
@@ -332,9 +332,13 @@ def _file_meta(spark, sf):
     return _(spark, sf, "files").select("path", "hash", "mtime", "parsed_by")
 
 
-@query("enclosing_func_at", "select enclosing_func from refs where file = 'f4.c' and name = 'small_ring' and line = 1 and col = 7 order by ord limit 1")
+@query("enclosing_func_at", "select enclosing_func from refs where file = 'f11.c' and name = (select min(name) from refs where file = 'f11.c') and line = 1 "
+       "and col = (select min(col) from refs where file = 'f11.c' and line = 1 and name = (select min(name) from refs where file = 'f11.c')) order by ord limit 1")
 def _enclosing_func_at(spark, sf):
-    return lookup.enclosing_func_at(_(spark, sf, "refs"), "f4.c", "small_ring", 1, 7)
+    refs = _(spark, sf, "refs")
+    first = refs.where("file = 'f11.c'").agg(F.min("name")).first()[0]
+    col = refs.where((F.col("file") == "f11.c") & (F.col("line") == 1) & (F.col("name") == first)).agg(F.min("col")).first()[0]
+    return lookup.enclosing_func_at(refs, "f11.c", first, 1, -1 if col is None else col)
 
 
 _TREE = _NEIGH + """, tree(depth, path, name, recursive) as (select 1, [parent], name, name = '(file scope)' or name = parent from edges where parent in ({roots})
@@ -471,18 +475,28 @@ def _identifier_tokens(spark, sf):
     return text.identifier_tokens(_(spark, sf, "files").select("path", "text"))
 
 
-@query("word_occurrences")
+# A line is cut into comments, literals, words and other signs in order; what comes before a piece gives its column.
+_OCC = """, l as (select path, unnest(string_split(text, chr(10))) as value, unnest(range(0, len(string_split(text, chr(10))))) as line from files where contains(text, 'the')),
+  t as (select path, line, value, regexp_extract_all(value, '//.*|"(?:\\\\.|[^"\\\\])*"?|''(?:\\\\.|[^''\\\\])*''?|[A-Za-z0-9_]+|.') as ts from l where contains(value, 'the')),
+  u as (select path, line, value, unnest(ts) as tok, unnest(range(0, len(ts))) as i from t),
+  c as (select *, coalesce(sum(length(tok)) over (partition by path, line order by i rows between unbounded preceding and 1 preceding), 0) as col from u),
+  occ as (select path, cast(line as int) as line, cast(col as int) as col, trim(value, ' ' || chr(9) || chr(13)) as snippet from c where tok = 'the')"""
+
+
+@query("word_occurrences", _OCC + " select path, line, col, snippet from occ")
 def _word_occurrences(spark, sf):
     return text.word_occurrences(_(spark, sf, "files").select("path", "text"), "the")
 
 
-@query("occurrences_by_file")
+@query("occurrences_by_file", _OCC + """, b as (select path as file, line, snippet, string_agg(cast(col as varchar), ',' order by col) as cols, count(*) as n from occ group by 1, 2, 3)
+  select file, cast(sum(n) as bigint) as n_refs, string_agg(cast(line as varchar) || ':' || cols || ': ' || snippet, chr(10) order by line) as refs from b group by file""")
 def occurrences_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: every whole-word occurrence of a term, with its source line, grouped by file."""
-    files = relation(spark, sf_dir, "files").select("path", "text")
-    found = text.word_occurrences(files, "the").withColumnRenamed("path", "file")
-    shown = report.snippets(found.groupBy("file", "line").agg(F.array_sort(F.collect_list("col")).alias("cols")), files)
-    return shown.groupBy("file").agg(F.sum(F.size("cols")).alias("n_refs"), F.array_sort(F.collect_list(F.struct("line", "cols", "snippet"))).alias("refs"))
+    """Flagship: every whole-word occurrence of a term, grouped by file: one text line for each source line, with columns and the line."""
+    found = text.word_occurrences(relation(spark, sf_dir, "files").select("path", "text"), "the")
+    by_line = found.groupBy(F.col("path").alias("file"), "line").agg(F.array_sort(F.collect_list("col")).alias("cols"), F.first("snippet").alias("snippet"))
+    shown = F.transform(F.array_sort(F.collect_list(F.struct("line", "cols", "snippet"))), lambda r: F.concat(
+        r["line"].cast("string"), F.lit(":"), F.array_join(r["cols"].cast("array<string>"), ","), F.lit(": "), r["snippet"]))
+    return by_line.groupBy("file").agg(F.sum(F.size("cols")).alias("n_refs"), F.array_join(shown, "\n").alias("refs"))
 
 
 @query("enclosing_range_join", """, pts as (select distinct file, line + col as line from refs), j as (select p.file, p.line, r.name, row_number() over
@@ -495,7 +509,13 @@ def _enclosing(spark, sf):
 
 @query("content_hash", "select path, hash from files")
 def _content_hash(spark, sf):
-    return _(spark, sf, "files").select("path", "hash")
+    """The hash that the indexer gives a text, worked out by its own function."""
+    @F.pandas_udf("string")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return texts.map(content_hash, na_action="ignore")
+
+    ship_package(spark)
+    return _(spark, sf, "files").select("path", hashed("text").alias("hash"))
 
 
 @query("symbol_counts", "select file, count(*) as n_symbols from symbols group by file")
@@ -523,8 +543,9 @@ def _stream(spark, sf):
     import uuid
 
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    # A pattern, because a stream's plain path must be a folder and the table may be one file.
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf}/event[s].parquet")
+    # The table may be one file; dealt into several, it comes as several micro-batches, each with older and newer changes of a path.
+    dealt = settled(spark.read.parquet(f"{sf}/events.parquet").repartition(4, "event_id"), "events")
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(dealt.settled_path)
     changes = events.select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".c")).alias("path"), F.col("event_id").alias("seq"),
                             F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"),
                             F.concat_ws(" ", "event_type", "props").alias("text"), F.floor(F.col("value") * 100).cast("long").alias("mtime"))
@@ -532,17 +553,23 @@ def _stream(spark, sf):
     return replay(spark, changes, f"{base}/state", f"{base}/checkpoint").select("path", "seq", "op", "text", "mtime")
 
 
-# Queries over a fixture corpus of C sources: no SQL can parse them, golden tests hold their rows.
+# Queries over a fixture corpus of sources; the rows of their twins are in ``golden``.
+def _fixture(name: str, f: Query) -> None:
+    QUERIES[name] = f
+    if name in golden.ROWS:
+        ORACLE[name] = golden.sql(name)
+
+
 for _part in ("symbols", "refs", "calls", "locals", "aliases"):
-    query(f"extract_fixture_{_part}")(lambda s, d, part=_part: fixtures.facts(s, part))
+    _fixture(f"extract_fixture_{_part}", lambda s, d, part=_part: fixtures.facts(s, part))
 for _part in ("symbols", "refs", "calls"):
-    query(f"grep_fixture_{_part}")(lambda s, d, part=_part: fixtures.facts(s, part, grep=True))
-query("macro_wrapped_vars")(lambda s, d: fixtures.facts(s, "symbols").where("file = 'wrapped.c'"))
-query("goto_definition_fixture")(lambda s, d: fixtures.run(s, "goto"))
-query("references_fixture")(lambda s, d: fixtures.run(s, "references"))
-query("code_insight_fixture")(lambda s, d: fixtures.run(s, "insight"))
-query("symbol_info_fixture")(lambda s, d: fixtures.run(s, "symbol_info"))
-query("category_counts_fixture")(lambda s, d: report.category_counts(fixtures.run(s, "insight")))
-query("type_info_fixture")(lambda s, d: fixtures.run(s, "type_info"))
+    _fixture(f"grep_fixture_{_part}", lambda s, d, part=_part: fixtures.facts(s, part, grep=True))
+_fixture("macro_wrapped_vars", lambda s, d: fixtures.facts(s, "symbols").where("file = 'wrapped.c'"))
+_fixture("goto_definition_fixture", lambda s, d: fixtures.run(s, "goto"))
+_fixture("references_fixture", lambda s, d: fixtures.run(s, "references"))
+_fixture("code_insight_fixture", lambda s, d: fixtures.run(s, "insight"))
+_fixture("symbol_info_fixture", lambda s, d: fixtures.run(s, "symbol_info"))
+_fixture("category_counts_fixture", lambda s, d: report.category_counts(fixtures.run(s, "insight")))
+_fixture("type_info_fixture", lambda s, d: fixtures.run(s, "type_info"))
 
 __all__ = ["FILES", "ORACLE", "QUERIES", "occurrences_by_file", "settled"]
