@@ -10,7 +10,7 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<close>/)?(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|(?P<text>[^<]+|<)", re.S)
 ATTR = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "xmp", "noembed", "noframes"}
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "html", "body", "head", "address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt",
@@ -28,7 +28,7 @@ MAX_DEPTH = 150
 
 
 class Node:
-    __slots__ = ("attrs", "children", "holds_main", "label", "node_id", "tag")
+    __slots__ = ("attrs", "children", "foreign", "holds_main", "label", "node_id", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children = tag, attrs, []
@@ -37,6 +37,7 @@ class Node:
         self.label = ".".join([tag, *marks])
         self.node_id = -1
         self.holds_main = False
+        self.foreign = False  # neither article nor layout: adverts, comments, forms, what is hidden
 
 
 def parse(source: str, apart=lambda node, in_content: False) -> Node:
@@ -153,13 +154,14 @@ def fold(node: Node) -> tuple[str, list[list[Node]]]:
     return f"{node.label}({inner})", [[node], *(m for _, ms in parts for m in ms)]
 
 
-def text_hashes(members: list[list[Node]]) -> list[int]:
-    """A 32-bit hash of the text that each skeleton node holds itself; -1 where it holds none."""
-    out = []
+def text_hashes(members: list[list[Node]]) -> tuple[list[int], list[int]]:
+    """A 32-bit hash of the text that each skeleton node holds itself, -1 where it holds none, and the text's length."""
+    hashes, chars = [], []
     for nodes in members:
-        text = "\n".join(t for x in nodes if (t := own_text(x)))
-        out.append(zlib.crc32(text.encode("utf-8", "surrogatepass")) if text else -1)
-    return out
+        text = "\n".join(t for x in nodes if not x.foreign and (t := own_text(x)))
+        hashes.append(zlib.crc32(text.encode("utf-8", "surrogatepass")) if text else -1)
+        chars.append(len(text))
+    return hashes, chars
 
 
 Tree = tuple  # (label, preorder number, children)
