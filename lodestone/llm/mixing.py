@@ -7,14 +7,16 @@ is taken floor(rate) times, and once more with the rate's fraction as inclusion
 The fractional part is settled by the cube method: three fractional documents of a source at a time, probabilities move
 along the null space of the two constraints (documents, words) until one of the three is in or out, so each source's
 token and document totals stay exactly balanced. Documents are dealt into blocks of about ``BLOCK`` rows of one source by
-a hash of their id and text; a block leaves at most two documents open, and these meet in the next, far smaller level.
+a hash of their id, text and place, so that repeated rows spread; a block leaves at most two documents open, and these meet in the next, far smaller level.
 The last block of a source holds its last twelve documents back for the landing, which takes the outcome of all open
 ones that is nearest to the target.
 
 Sizes, ranks and targets are of all rows; a source with a third of all rows is many blocks. Moves depend only on hashes
 of rows, so reruns agree. Defined cases: a null text has 0 words, and so has an empty one; documents of 0 words take part
 in the document balance and take 0 words; repeated rows are rows of their own; an empty table gives an empty result.
-``docs`` must be a table scan (row ids are of the scan's splits); other inputs are to be written first.
+Two outcomes of the landing that miss alike: the first in order of the open documents' hashes. Ids may be of any type;
+columns of other names, also such as ``size`` or ``copies``, are carried along. An input that is no plain table scan is
+written first, so that row ids hold.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import python_ready, written
+from ._util import python_ready, scanned, written
 
 BLOCK = 512
 HOLD = 12
@@ -107,12 +109,12 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return ranked.select("source", "source_size", F.least(full, level * F.col("weight")).cast("double").alias("target"))
 
 
-_UNIT = "place long, doc_id long, source string, size long, h long, copies int, pi double"
+_UNIT = "place long, source string, size long, h long, copies int, pi double"
 
 
 def _settle(last: bool):
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "doc_id", "size"], kind="stable")
+        pdf = pdf.sort_values(["h", "place"])
         end = last or bool(pdf["lone"].iloc[0])
         p = flight(pdf["pi"].to_numpy(), pdf["size"].to_numpy(), int(pdf["h"].iloc[0]), HOLD * end)
         if end:
@@ -128,20 +130,20 @@ def mix(docs: DataFrame) -> DataFrame:
     ``place`` is the row's monotonic id in the scan; ``copies`` how often the mix takes it.
     """
     python_ready(docs.sparkSession)
-    sizes = written(docs.select(F.monotonically_increasing_id().alias("place"), F.col("doc_id").cast("long").alias("doc_id"),
-                                F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
-                                F.xxhash64("doc_id", "text").alias("h")), "mix-sizes")
+    docs = scanned(docs)
+    sizes = written(docs.select(F.monotonically_increasing_id().alias("place"), "doc_id", F.col("source").cast("string").alias("source"),
+                                word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("h")), "mix-sizes")
     targets = written(source_targets(sizes), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     of_source = targets.select(F.col("source").alias("s_"), rate.alias("rate"))
     units = sizes.join(of_source, F.col("source").eqNullSafe(F.col("s_"))).select(
-        "place", "doc_id", "source", "size", "h", F.floor("rate").cast("int").alias("copies"), (F.col("rate") - F.floor("rate")).alias("pi"))
+        "place", "source", "size", "h", F.floor("rate").cast("int").alias("copies"), (F.col("rate") - F.floor("rate")).alias("pi"))
     done: list[DataFrame] = []
     level = 0
     while True:
         counts = units.groupBy("source").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")).withColumnRenamed("source", "s_")
         dealt = units.join(counts, F.col("source").eqNullSafe(F.col("s_"))).drop("s_").withColumn(
-            "block", F.pmod(F.xxhash64("h", F.lit(level)), F.col("blocks"))).withColumn("lone", F.col("blocks") == 1).drop("blocks")
+            "block", F.pmod(F.xxhash64("h", "place", F.lit(level)), F.col("blocks"))).withColumn("lone", F.col("blocks") == 1).drop("blocks")
         moved = written(dealt.groupBy("source", "block").applyInPandas(_settle(level >= 12), _UNIT), f"mix-level{level}")
         open_ = (F.col("pi") > 0) & (F.col("pi") < 1)
         done.append(moved.where(~open_))
@@ -153,12 +155,15 @@ def mix(docs: DataFrame) -> DataFrame:
     for more in done[1:]:
         settled = settled.unionByName(more)
     copies = (F.col("copies") + F.col("pi").cast("int")).cast("int")
-    out = settled.join(targets.withColumnRenamed("source", "s_"), F.col("source").eqNullSafe(F.col("s_")))
+    # Ids are of any type, and never go through pandas.
+    ids = sizes.select(F.col("place").alias("place_"), "doc_id")
+    out = settled.join(ids, F.col("place") == F.col("place_")).join(targets.withColumnRenamed("source", "s_"), F.col("source").eqNullSafe(F.col("s_")))
     return out.select("place", "doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with their columns."""
+    docs = scanned(docs)
     chosen = mix(docs).where("copies > 0").select(F.col("place").alias("place_"), "copies")
     rows = docs.select(F.monotonically_increasing_id().alias("place_"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     return rows.join(chosen, "place_").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_")).select("row.*")
