@@ -11,8 +11,9 @@ Law: ``bytes``. Sizes (UTF-8 bytes of the text plus 16) of shards are near equal
 ``tolerance`` of its share, or at the document border nearest to it.
 
 Defined cases: a null text has no bytes, so size 16, and CRC 0; repeated rows are rows of their own; an empty table
-gives an empty result; with fewer rows than shards some shards stay empty. ``docs`` must be a table scan (its row ids
-are of the scan's splits); other inputs are to be written first.
+gives an empty result; with fewer rows than shards some shards stay empty; equal keys don't arise, as the place is part
+of the key. Columns of other names, also such as ``key`` or ``slot``, are handed through by ``carry``. An input that is
+no plain table scan is written first, so that row ids hold.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import os
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import written
+from ._util import scanned, written
 
 FIRST_DIGITS, MORE_DIGITS, KEY_DIGITS = 3, 2, 48
 
@@ -89,6 +90,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, tolerance: float = 0.002
     Slots count from 0 in each shard without gaps. A slot is the number of the shard's rows in earlier input splits,
     plus the row's number among the shard's rows of its own split, so numbering needs no sort of a whole shard.
     """
+    docs = scanned(docs)
     text = F.col("text")
     more = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")] if carry else []
     placed = docs.select(F.monotonically_increasing_id().alias("place"), "doc_id", "text", *more)
@@ -108,6 +110,14 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, tolerance: float = 0.002
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 40, tolerance: float = 0.002) -> None:
-    """Writes ``docs`` with their columns into ``path/shard=N`` folders, each row once."""
+    """Writes ``docs`` with their columns into ``path/shard=N`` folders, each row once.
+
+    A column of its own named ``shard`` (in any case of letters) is written with underscores after its name.
+    """
     out = shard_by_bytes(docs, n_shards, tolerance, carry=docs.columns)
-    out.select("row.*", F.col("shard").alias("shard")).write.partitionBy("shard").parquet(path)
+    taken = {c.lower() for c in docs.columns}
+    own = "shard_"
+    while own in taken:
+        own += "_"
+    kept = [F.col("row").getField(c).alias(own if c.lower() == "shard" else c) for c in docs.columns]
+    out.select(*kept, F.col("shard").alias("shard")).write.partitionBy("shard").parquet(path)
