@@ -11,7 +11,8 @@ back by join on the site; nothing about sites reaches the driver but five sums.
 
 Defined cases: a null or empty text has an empty shape and is scored as such; a null host or path is a site of its own;
 with no labels to learn from every score is 1.0 and everything is kept. Rows with a null id are scored but never learned
-from. Repeated rows are scored alike, each on its own. Other columns are never read.
+from. Repeated rows are scored alike but for what their site says without the row itself. Ties don't arise: a score of
+exactly 0.5 is kept. An empty table gives an empty result. Other columns, of whatever names, are never read.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._fit import Logistic, fit_logistic
-from ._util import held_out, learnable, python_ready, sampled_ids, written
+from ._util import held_out, learnable, python_ready, sampled_ids, scanned, written
 
 #: Learning takes at most about so many labelled documents of each class.
 DOCS_PER_CLASS = 1500
 #: Evidence is kept away from certainty, so that a site can still move it.
 LEAST_P = 1e-3
+#: A parent counts as one document at least, so that a site of one document has a rate without it.
+LEAST_STRENGTH = 1.0
 CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "space": b" \t",
     "line": b"\n\r", "stop": b".,;:'\"()-?", "bang": b"!", "pipe": b"|", "sign": b"#$%&*@^~=+<>{}[]\\_/`",
@@ -103,7 +106,7 @@ def site_priors(scored: DataFrame) -> tuple[DataFrame, float]:
 
     Returns (host, path, n, k, host_n, host_k, host_strength, path_strength) and the global mean: n documents with k
     good ones expected. Strengths are of the Beta priors, by moments: the spread of site means beyond what the documents
-    in them explain.
+    in them explain. Sites that spread no more than that are as their parent (a strength without bound).
     """
     paths = written(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("k")), "quality-paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("k").alias("host_k"))
@@ -113,10 +116,8 @@ def site_priors(scored: DataFrame) -> tuple[DataFrame, float]:
     def strength(table: DataFrame, n: str, k: str, parent: Column) -> float:
         gap = (F.col(k) / F.col(n) - parent) ** 2
         r = table.where(F.col(n) > 1).agg(F.count("*"), F.avg(gap), F.avg(1 / F.col(n))).first()
-        if not r[0] or r[0] < 3:
-            return 1e4
-        between = r[1] - mean * (1 - mean) * r[2]
-        return float(min(max(mean * (1 - mean) / max(between, 1e-9) - 1, 20.0), 1e4))
+        between = (r[1] - mean * (1 - mean) * r[2]) if r[0] else 0.0
+        return float(max(mean * (1 - mean) / max(between, 1e-12) - 1, LEAST_STRENGTH))
 
     of_host = strength(hosts, "host_n", "host_k", F.lit(mean))
     both = paths.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).drop("h")
@@ -142,23 +143,25 @@ def with_posterior(rows: DataFrame, priors: DataFrame, mean: float) -> DataFrame
         "h_", "p_", "n", "k", "host_n", "host_k", "host_strength", "path_strength")
 
 
-def classify(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """One row per row of ``docs(doc_id, text, lang, source)``: doc_id, held_out, evidence, site_rate, score, keep.
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row per row of ``docs(doc_id, text, lang, source)``: place, doc_id, held_out, evidence, site_rate, score, keep.
 
-    ``carry`` names columns of ``docs`` to hand through as struct ``row``. A document is kept at a score of 0.5 or more.
+    A document is kept at a score of 0.5 or more. Texts are read once for their evidence; all that follows is narrow.
     """
+    docs = scanned(docs)
     model = fit(docs, labels)
     host, path = document_sites(F.col("source"), F.col("lang"))
-    p = evidence(model, F.col("text"), docs.sparkSession).alias("p")
-    priors, mean = site_priors(docs.select(host.alias("host"), path.alias("path"), p))
-    more = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")] if carry else []
-    rows = docs.select("doc_id", host.alias("host"), path.alias("path"), p, *more)
+    rows = written(docs.select(F.monotonically_increasing_id().alias("place"), "doc_id", host.alias("host"), path.alias("path"),
+                               evidence(model, F.col("text"), docs.sparkSession).alias("p")), "quality-evidence")
+    priors, mean = site_priors(rows)
     out = with_posterior(rows, priors, mean)
     score = F.lit(1.0) if model is None else F.col("posterior")
-    return out.select("doc_id", held_out().alias("held_out"), F.col("p").alias("evidence"), "site_rate", score.alias("score"),
-                      (score >= 0.5).alias("keep"), *(["row"] if carry else []))
+    return out.select("place", "doc_id", held_out().alias("held_out"), F.col("p").alias("evidence"), "site_rate", score.alias("score"), (score >= 0.5).alias("keep"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with their columns."""
-    return classify(docs, labels, carry=docs.columns).where("keep").select("row.*")
+    docs = scanned(docs)
+    kept = classify(docs, labels).where("keep").select(F.col("place").alias("place_"))
+    rows = docs.select(F.monotonically_increasing_id().alias("place_"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.join(kept, "place_", "left_semi").select("row.*")

@@ -42,7 +42,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return out.withColumn("predicted", F.col("keep").cast("int"))
+    return out.withColumn("predicted", F.col("keep").cast("int")).drop("place")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
