@@ -55,6 +55,13 @@ def release(since: int, keep: tuple[DataFrame, ...] = ()) -> None:
         _settled.remove(entry)
 
 
+def drop(df: DataFrame) -> None:
+    """Deletes one settled table that nothing reads any more."""
+    for entry in [x for x in _settled if x[1] == getattr(df, "settled_path", None)]:
+        _delete(*entry[:2])
+        _settled.remove(entry)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         sc = spark.sparkContext
