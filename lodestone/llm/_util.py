@@ -6,23 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from ..storage import drop, release
+from ..storage import mark as mark_tables
 from ..storage import settled as written
 
-__all__ = ["bounded_sample", "connected_components", "held_out", "learnable", "python_ready", "sampled_ids", "scanned", "written"]
+__all__ = ["bounded_sample", "class_counts", "connected_components", "held_out", "learnable", "python_ready", "sampled_ids", "scanned", "written"]
 
-#: Rows of whole documents in one Arrow batch. A batch of the longest documents (about 100 kB) stays near 50 MB.
-ARROW_ROWS = 512
+#: Classes of labelled rows up to which their sample thresholds are broadcast.
+FEW_CLASSES = 10_000
 
 
 def python_ready(spark: SparkSession) -> None:
-    """Ships the package to Python workers and keeps Arrow batches of whole documents small.
-
-    A session that has asked for a batch size of its own keeps it.
-    """
+    """Ships the package to Python workers. Arrow batches are bounded in bytes by the session's own setting."""
     ship_package(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(ARROW_ROWS))
 
 
 #: Parts of a plan whose rows come in the same splits and the same order in every scan.
@@ -52,23 +48,28 @@ def learnable(id_col: str = "doc_id"):
     return F.col(id_col).isNotNull() & ~held_out(id_col)
 
 
-def bounded_sample(df: DataFrame, classes: str, bound: int, key) -> DataFrame:
-    """At most about ``bound`` rows of each value of ``classes``, by a hash of ``key``; the same rows in every run.
+def class_counts(df: DataFrame, classes: str) -> DataFrame:
+    """(class, rows) of all rows, written once."""
+    return written(df.groupBy(F.col(classes).alias("class_")).agg(F.count("*").alias("rows_")), "classes")
+
+
+def bounded_sample(df: DataFrame, classes: str, bound: int, key, counts: DataFrame | None = None) -> DataFrame:
+    """About ``bound`` rows of each value of ``classes``, by a hash of ``key``; the same rows in every run.
 
-    A class of fewer rows is taken whole. The class counts are of all rows. Used only to fit classifiers.
+    A class of fewer rows is taken whole, and no class is left out. The class counts are of all rows. Used only to fit
+    classifiers.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(classes).count().orderBy(F.desc("count")).limit(1000).collect()}
-    h = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1_000_003))
-    keep = F.lit(False)
-    for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
-        share = min(1.0, bound / max(n, 1))
-        keep = keep | (F.col(classes).eqNullSafe(F.lit(value)) & (h < int(share * 1_000_003) + 1))
-    return df.where(keep)
+    counts = class_counts(df, classes) if counts is None else counts
+    least = counts.select("class_", F.ceil(F.least(F.lit(1.0), F.lit(float(bound)) / F.col("rows_")) * 1_000_003).alias("least_"))
+    least = F.broadcast(least) if counts.count() <= FEW_CLASSES else least
+    hashed = df.withColumn("hash_", F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1_000_003)))
+    kept = hashed.join(least, F.col(classes).eqNullSafe(F.col("class_")) & (F.col("hash_") < F.col("least_")))
+    return kept.drop("class_", "least_", "hash_")
 
 
 def sampled_ids(labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """(doc_id, label) of a bounded sample of distinct labelled ids, at most 4 times ``bound`` rows, to be broadcast."""
-    return F.broadcast(bounded_sample(labels.distinct(), label, bound, F.col("doc_id")).limit(4 * bound))
+    """(doc_id, label) of a sample of about ``bound`` distinct labelled ids of each class, to be broadcast: two classes of a few thousand rows."""
+    return F.broadcast(bounded_sample(labels.distinct(), label, bound, F.col("doc_id")))
 
 
 def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
@@ -99,10 +100,13 @@ def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> D
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        now = written(star(star(now, True), False), name)
+        begin = mark_tables()
+        last, now = now, written(star(star(now, True), False), name)
+        release(begin, keep=(now,))
         if (got := mark(now)) == seen:
             break
         seen = got
+        drop(last)
     else:
         raise RuntimeError(f"{name}: components did not settle in {max_rounds} rounds")
     return now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(

@@ -11,8 +11,10 @@ table of the benchmark is broadcast if it is counted to be at most ``BROADCAST_R
 hits are few and narrow, are summed by row, and meet the documents' word counts by row id. Nothing is collected.
 
 Defined cases: a null text has no words and no windows; so has an empty one. Repeated items are one item, repeated
-documents are rows of their own, null item ids hit words but are not counted as items. An empty benchmark hits nothing.
-``docs`` must be a table scan (row ids are of the scan's splits); other inputs are to be written first.
+documents are rows of their own, null item ids hit words but are not counted as items. An empty benchmark hits nothing,
+an empty table of documents gives an empty result. Ties of smallest hashes keep the rightmost. Columns of other names,
+also such as ``words`` or ``place``, are never read. Documents that are no plain table scan are written first, so that
+row ids hold.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._util import scanned
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, K = 10, 5
 #: k-grams in a window, and words on either side of a k-gram that a window around it can reach.
@@ -109,6 +113,7 @@ def hits(rows: DataFrame, items: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """place, doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of ``docs(doc_id, text)``."""
+    docs = scanned(docs)
     place = F.monotonically_increasing_id().alias("place")
     # Row id and words in one step: no filter on the words is pushed below it, so texts are split once.
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words"))
@@ -126,6 +131,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a hit word, with their columns."""
+    docs = scanned(docs)
     place = F.monotonically_increasing_id().alias("place_")
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words"))
     rows = docs.select(F.monotonically_increasing_id().alias("place"), words_of(F.col("text")).alias("words"))

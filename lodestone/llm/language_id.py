@@ -4,9 +4,12 @@ Text is lower-cased and cut into code-point n-grams of 1 to 3 characters, each h
 a log-probability matrix (buckets x languages). The matrix is of fixed size (4 MB for 16 languages), broadcast, and a
 batch is scored by numpy: gather the rows of all n-grams of the batch's texts, then sum them by text.
 
+The prior P(language) is of all rows that may be learned from; only the n-gram counts come from the sample.
+
 Defined cases: a null text, or one with no letter, is ``und`` with score 0.0; so is every text if nothing could be
 learned. Ties go to the language that sorts first. Repeated rows are scored alike, each on its own. Rows with a null id
-are scored but never learned from.
+are scored but never learned from. Whole texts are scored, in pieces where they are long. An empty table gives an empty
+result; columns of other names, also such as ``lang_pred`` or ``score``, are never read.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import bounded_sample, held_out, learnable, python_ready
+from ._util import bounded_sample, class_counts, held_out, learnable, python_ready
 
 N_BUCKETS = 1 << 16
 #: Learning takes about so many rows of each language at most; a rarer language is taken whole.
@@ -55,17 +58,21 @@ class Model:
     def scores(self, texts: list[str]) -> np.ndarray:
         """Joint log-probability of each text and language; a text is never cut."""
         out = np.tile(self.prior, (len(texts), 1))
-        k = 0
+        k = at = 0
         while k < len(texts):
             parts, owner, size = [], [], 0
-            while k < len(texts) and (size == 0 or size < CHUNK):
+            while k < len(texts) and size < CHUNK:
                 codes = _codes(texts[k])
-                for part in ngram_buckets(codes):
+                piece = codes[at : at + CHUNK + 2]  # two more, for the n-grams that start before the piece's end
+                for part in ngram_buckets(piece):
+                    part = part[:CHUNK]
                     if len(part):
                         parts.append(part)
                         owner.append(k)
-                size += len(codes)
-                k += 1
+                size += len(piece)
+                at += CHUNK
+                if at >= len(codes):
+                    k, at = k + 1, 0
             if parts:
                 starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
                 flat = np.concatenate(parts)
@@ -74,8 +81,11 @@ class Model:
         return out
 
 
-def train(rows: Iterator[tuple[str, str]], alpha: float = 0.05) -> Model:
-    """Fits a model from (text, language) rows, as an iterator that is read once."""
+def train(rows: Iterator[tuple[str, str]], alpha: float = 0.05, prior: dict[str, int] | None = None) -> Model:
+    """Fits a model from (text, language) rows, as an iterator that is read once.
+
+    ``prior`` has the rows of each language where ``rows`` are only a sample of them.
+    """
     counts: dict[str, np.ndarray] = {}
     n: dict[str, int] = {}
     for text, lang in rows:
@@ -89,6 +99,7 @@ def train(rows: Iterator[tuple[str, str]], alpha: float = 0.05) -> Model:
     if not langs:
         return Model([], np.zeros((0, N_BUCKETS)), np.zeros(0))
     c = np.array([counts[x] for x in langs]) + alpha
+    n = {x: (prior or n).get(x, n[x]) for x in langs}
     total = sum(n.values())
     return Model(langs, np.log(c / c.sum(axis=1, keepdims=True)), np.log(np.array([n[x] / total for x in langs])))
 
@@ -98,8 +109,10 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     """Learns from a bounded sample of the labelled rows outside the held-out fold, streamed to the driver."""
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         learnable() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = bounded_sample(known, "lang", rows_per_language, F.col("doc_id"))
-    return train((r["text"], r["lang"]) for r in sample.select("text", "lang").toLocalIterator())
+    counts = class_counts(known, "lang")
+    sample = bounded_sample(known, "lang", rows_per_language, F.col("doc_id"), counts).select("text", "lang")
+    prior = {r["class_"]: r["rows_"] for r in counts.toLocalIterator()}  # a row for each language, as the model has
+    return train(((r["text"], r["lang"]) for r in sample.toLocalIterator()), prior=prior)
 
 
 def predict(model: Model, text: Column, spark) -> Column:

@@ -1,5 +1,7 @@
 """HTML extraction, the pipeline's stages, and the registered queries."""
 
+import random
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +70,69 @@ def test_copies_are_no_template(table):
     assert all(got[k] == "Title 9\n\nBody 9 of the story.\n\nQuoted" for k in range(5)) and got[12] == "Title 2\n\nBody 2 of the story."
 
 
+def soup(k):
+    """A page without an article, a heading or a telling name: only comparison finds its text."""
+    words = " ".join(f"w{k}x{j}" for j in range(60))
+    return (f"<body><div class=a1><ul><li>go {k}</li><li>to {k + 1}</li></ul></div><div class=a2><div class=b><p>start {k} {words}</p><blockquote>said {k}</blockquote>"
+            f"<p>end {words}</p></div></div><div class=a3><div>seen {k * 7} times</div><p>tail {k}</p></div><div class=a4>Always here</div></body>")
+
+
+def test_region_comes_from_the_wrapper(table):
+    pages = {k: soup(k) for k in range(12)}
+    got = {r.page_id: r.text for r in html_text.extract(table([(k, f"http://soup.org/{k}", p) for k, p in pages.items()], "page_id long, url string, html string")).collect()}
+    for k, p in pages.items():
+        assert got[k].split("\n\n")[0].startswith(f"start {k} ") and got[k].split("\n\n")[1] == f"said {k}" and len(got[k].split("\n\n")) == 3
+        assert html_text.main_text(p) != got[k]  # without the wrapper, menus and tails would be text
+
+
+def test_edited_copies_are_one_story(table):
+    """Pages of one heading must not make that heading look like template."""
+    def page(k):
+        return f"<body><div class=text><h1>One title</h1><p>The body, edited {k} times.</p><p>Second</p></div></body>"
+
+    got = html_text.extract(table([(k, f"http://c.org/{k}", page(k)) for k in range(6)], "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {f"One title\n\nThe body, edited {k} times.\n\nSecond" for k in range(6)}
+
+
+def test_formulas_and_inner_names():
+    page = ("<article><p>Let <math><mi>x</mi><annotation>\\x</annotation></math> be <svg><title>no</title><text>five</text></svg></p><div class=related-work>Kept</div>"
+            "<div class=search>Kept too</div><div class=cookie-notice>Gone</div></article>")
+    assert html_text.main_text(page) == "Let x be five\n\nKept\n\nKept too"
+
+
+def test_tree_matching_equals_enumeration():
+    rng = random.Random(4)
+
+    def tree(depth):
+        return (rng.choice("ab"), [tree(depth - 1) for _ in range(rng.randint(0, 3))] if depth else [])
+
+    def sig(t):
+        return f"{t[0]}({','.join(map(sig, t[1]))})"
+
+    def largest(x, y):
+        """Most pairs of an order-keeping match, tried over every way to skip children."""
+        if x[0] != y[0]:
+            return 0
+
+        def rows(p, q):
+            if not p or not q:
+                return 0
+            return max(rows(p[1:], q), rows(p, q[1:]), largest(p[0], q[0]) + rows(p[1:], q[1:]))
+
+        return 1 + rows(x[1], y[1])
+
+    for _ in range(300):
+        x, y = tree(3), tree(3)
+        assert len(_dom.match(_dom.skeleton_tree(sig(x)), _dom.skeleton_tree(sig(y)))) == largest(x, y)
+
+
+def test_pages_with_clashing_columns_and_long_text(table):
+    long = "word " * 200_000
+    rows = [(1, "http://l.org/1", f"<article><p>{long}</p></article>", "x", "y", "z"), (None, None, None, None, None, None), (2, "http://l.org/2", "", "x", "y", "z")]
+    got = {r.page_id: r for r in html_text.extract(table(rows, "page_id long, url string, html string, host string, text string, wrapper string")).collect()}
+    assert got[1].text == long.strip() and got[1].n_chars == 999_999 and got[None].text == "" and got[2].n_chars == 0
+
+
 def test_no_pages(table):
     assert html_text.extract(table([], "page_id long, url string, html string")).count() == 0
 
