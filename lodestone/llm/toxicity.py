@@ -7,9 +7,11 @@ clean ones, and in enough distinct toxic texts (copies of one text count once).
 marginal probability of the toxic state; a small logistic model over the marginals' sum, mean, maximum and the length
 gives the document score, and runs of words at 0.5 or more are the offending spans.
 
-Whole texts are scored, whatever their length, in memory that follows one batch of texts. Defined cases: a null or empty
+Whole texts are scored, whatever their length, in memory that follows the longest text. Defined cases: a null or empty
 text has no words and gets the score of a document without toxic words; if no labels can be learned from, every score
-is 0.0. Rows with a null id are scored but never learned from. Repeated rows are scored alike, each on its own.
+is 0.0. Rows with a null id are scored but never learned from. Repeated rows are scored alike, each on its own. A score
+of exactly 0.5 is toxic. An empty table gives an empty result; columns of other names, also such as ``score``, are never
+read.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ N_WEIGHTS = 1 << 18
 DOCS_PER_CLASS = 1000
 #: Training sequences are runs of up to so many words.
 SEQUENCE = 64
+#: Words of a block of a long sequence, and of a group of texts that is scored at once.
+BLOCK, WORDS = 256, 200_000
 MIN_RATIO = 8.0
 MEMO = 400_000
 
@@ -59,6 +63,7 @@ class Layout:
         self.start = np.concatenate([[0], np.cumsum(self.active)]).astype(np.int64)
         position = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         self.index = self.start[position] + np.repeat(rank, lengths)  # place of each word, in text order
+        self.rank = rank  # of each sequence among those that are laid out, longest first
 
 
 def marginals(emission: np.ndarray, lay: Layout, trans: np.ndarray, begin: np.ndarray):
@@ -93,6 +98,78 @@ def marginals(emission: np.ndarray, lay: Layout, trans: np.ndarray, begin: np.nd
     return toxic, (a0, a1, b0, b1, up, m)
 
 
+def long_marginals(emission: np.ndarray, lengths: np.ndarray, trans: np.ndarray, begin: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """P(toxic) of every word of sequences of any length, exactly, in steps of at most ``block``.
+
+    Sequences are cut into blocks. A block's transfer matrix carries any incoming state over it; the matrices link the
+    blocks of a sequence from both ends, and then all blocks run forward and backward at once from the right states.
+    """
+    n_blocks = -(-lengths // block)
+    ends = np.cumsum(n_blocks) - 1
+    sizes = np.full(int(n_blocks.sum()), block, dtype=np.int64)
+    some = lengths > 0
+    sizes[ends[some]] = (lengths - (n_blocks - 1) * block)[some]
+    first = ends - n_blocks + 1
+    lay = Layout(sizes)
+    up = np.empty(int(lengths.sum()))
+    up[lay.index] = np.exp(emission.clip(-30, 30))
+    m = np.exp(trans)
+    steps = len(lay.active)
+    # Rows of the transfer matrices, in the layout's order: from an incoming clean and an incoming toxic state.
+    t0, t1 = np.stack([np.ones(len(sizes)), np.zeros(len(sizes))]), np.stack([np.zeros(len(sizes)), up[: len(sizes)]])
+    for t in range(1, steps):
+        s, n = lay.start[t], lay.active[t]
+        p, q = t0[:, :n], t1[:, :n]
+        x = np.stack([p[0] * m[0, 0] + p[1] * m[1, 0], (p[0] * m[0, 1] + p[1] * m[1, 1]) * up[s : s + n]])
+        y = np.stack([q[0] * m[0, 0] + q[1] * m[1, 0], (q[0] * m[0, 1] + q[1] * m[1, 1]) * up[s : s + n]])
+        norm = (x + y).sum(axis=0)
+        t0[:, :n], t1[:, :n] = x / norm, y / norm
+    carry = np.stack([t0[:, lay.rank], t1[:, lay.rank]])  # [incoming, outgoing, block]
+    into, after = np.empty((2, len(sizes))), np.ones((2, len(sizes)))
+    into[:, first[some]] = np.exp(begin)[:, None]
+    most = int(n_blocks.max(initial=0))
+    for k in range(1, most):
+        at = first[n_blocks > k] + k
+        last = np.einsum("ib,iob->ob", into[:, at - 1], carry[:, :, at - 1])
+        nxt = np.einsum("ob,op->pb", last, m)
+        into[:, at] = nxt / nxt.sum(axis=0)
+    for k in range(most - 1, 0, -1):
+        at = first[n_blocks > k] + k
+        held = np.einsum("iob,ob->ib", carry[:, :, at], after[:, at])
+        back = np.einsum("op,pb->ob", m, held)
+        after[:, at - 1] = back / back.sum(axis=0)
+    order = np.empty_like(lay.rank)
+    order[lay.rank] = np.arange(len(order))
+    into, after = into[:, order], after[:, order]
+    a0, a1 = np.empty_like(up), np.empty_like(up)
+    for t in range(steps):
+        s, n = lay.start[t], lay.active[t]
+        if t == 0:
+            x0, x1 = into[0], into[1]
+        else:
+            p = lay.start[t - 1]
+            q0, q1 = a0[p : p + n], a1[p : p + n]
+            x0, x1 = q0 * m[0, 0] + q1 * m[1, 0], q0 * m[0, 1] + q1 * m[1, 1]
+        x1 = x1 * up[s : s + n]
+        norm = x0 + x1
+        a0[s : s + n], a1[s : s + n] = x0 / norm, x1 / norm
+    toxic = np.empty_like(up)
+    y0 = y1 = np.empty(0)
+    for t in range(steps - 1, -1, -1):
+        s, n = lay.start[t], lay.active[t]
+        x0, x1 = after[0, :n].copy(), after[1, :n].copy()
+        k = len(y0)
+        if k:  # blocks that go on
+            nxt = lay.start[t + 1]
+            z1 = y1 * up[nxt : nxt + k]
+            b0, b1 = m[0, 0] * y0 + m[0, 1] * z1, m[1, 0] * y0 + m[1, 1] * z1
+            x0[:k], x1[:k] = b0 / (b0 + b1), b1 / (b0 + b1)
+        f0, f1 = a0[s : s + n] * x0, a1[s : s + n] * x1
+        toxic[s : s + n] = f1 / (f0 + f1)
+        y0, y1 = x0, x1
+    return toxic[lay.index]
+
+
 def expected_transitions(lay: Layout, inner) -> np.ndarray:
     a0, a1, b0, b1, up, m = inner
     total = np.zeros((2, 2))
@@ -120,25 +197,23 @@ class Crf:
         return float(self.weights[_slots(word)].sum()) + self.bias
 
     def tag(self, texts: list[str]) -> list[np.ndarray]:
-        """P(toxic) of every word of every text."""
-        memo, flat, lengths = self._memo, [], []
-        if len(memo) > MEMO:
-            memo.clear()
-        for text in texts:
+        """P(toxic) of every word of every text, by groups of texts of about ``WORDS`` words."""
+        memo, flat, held, out = self._memo, [], 0, []
+        for k, text in enumerate(texts):
+            if len(memo) > MEMO:
+                memo.clear()
             words = WORD.findall(text)
             for w in words:
                 if w not in memo:
                     memo[w] = self.emission(w)
             flat.append(np.fromiter(map(memo.__getitem__, words), dtype=np.float64, count=len(words)))
-            lengths.append(len(words))
-        n = np.array(lengths, dtype=np.int64)
-        if not n.sum():
-            return [np.zeros(0) for _ in texts]
-        lay = Layout(n)
-        e = np.empty(int(n.sum()))
-        e[lay.index] = np.concatenate(flat)
-        toxic, _ = marginals(e, lay, self.trans, self.begin)
-        return np.split(toxic[lay.index], np.cumsum(n)[:-1])
+            held += len(words)
+            if held >= WORDS or k == len(texts) - 1:
+                n = np.array([len(f) for f in flat], dtype=np.int64)
+                toxic = long_marginals(np.concatenate(flat), n, self.trans, self.begin) if held else np.zeros(0)
+                out += np.split(toxic, np.cumsum(n)[:-1])
+                flat, held = [], 0
+        return out
 
     @staticmethod
     def summary(p: np.ndarray) -> list[float]:
