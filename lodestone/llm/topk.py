@@ -1,23 +1,29 @@
 """Exact top-k search: an impact-ordered index, read score at a time.
 
-Vectors are quantised to integers, floor(256 x). A block of vectors is indexed by posting segments: segment l of a
-dimension holds the entries whose impact (absolute value) falls into level l, levels halving from the block's largest
-impact down. A query block reads segments by descending level and adds each entry's product to its accumulator. After a
-level the unread rest of a vector has a known Euclidean norm, so |product of the rest| is at most the query's norm
-times it: that bounds every score from both sides. Reading stops only on proof, when for every query at most a few
-vectors can still reach the k-th lower bound, or when nothing is left to read; the possible members, all of them, are
-then rescored exactly in integers, and ties go to the smaller id.
-
-Vectors and queries are dealt into blocks by hash, and each pair of a query block and a vector block is one unit of
-work that yields k rows per query; a second step keeps the best k of these. No unit grows with the input.
+Vectors are quantised to integers, floor(256 x), and dealt into blocks by hash. A block is indexed once, as postings: a
+segment holds the (vector, component) entries of one dimension whose impact (absolute value) falls into one level, levels
+halving from the block's largest impact down. A block of queries reads the segments of one level after the other, by
+descending impact, and adds each entry's products to its accumulators. After a level the unread rest of a vector has a
+known Euclidean norm, so |product of the rest| is at most the query's norm times it: that bounds every score from both
+sides. Reading stops only on proof, when for every query at most a few vectors can still reach the k-th lower bound, or
+when nothing is left to read; the possible members, all of them, are then rescored exactly in integers, and ties go to
+the smaller id.
+
+Vectors move once, to their block; an index is a row of a written table and stays where it is. Queries go out in blocks of
+``QUERY_BLOCK``, a broadcast of bounded size each, and every index row answers with its k best of each query; a second
+step keeps the best k of these. No unit grows with the input.
 
 Defined cases: a vector that is null, or holds a null or non-finite component, takes no part. Vectors of other lengths
-are as if padded with zeros. Rows of the query's own id are its own and no candidates; exact repeats of a row are one
-row. Rows with a null id take no part. An empty table gives an empty result.
+are as if padded with zeros. An id is asked once, with its smallest vector if it has several; rows of the query's own id
+are its own and no candidates. Exact repeats of a row are candidates each, and take a rank each. Rows with a null id take
+no part. An empty table gives an empty result; columns of other names, also such as ``score`` or ``rank``, are never read.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -25,8 +31,10 @@ from pyspark.sql import functions as F
 
 from ._util import python_ready, written
 
-VECTOR_BLOCK, QUERY_BLOCK = 2048, 1024
+VECTOR_BLOCK, QUERY_BLOCK = 2048, 2048
 LEVELS = 6
+#: Blocks of queries after which their answers are written.
+PARTS = 16
 #: Possible members a query, beyond k, at which rescoring is cheaper than reading another level.
 FEW = 24
 
@@ -38,46 +46,57 @@ def quantised(vector: Column) -> Column:
 
 
 class Index:
-    """Posting segments of one block: per level a matrix that holds only that level's entries, and the rests' norms."""
+    """Posting segments of one block by level and dimension, the norms of the rests below each level, and the vectors."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, ids: np.ndarray, times: np.ndarray, vectors: np.ndarray):
+        self.ids, self.times, self.vectors = ids, times, vectors
         impact = np.abs(vectors)
         high = int(impact.max()) if impact.size else 0
-        lows = [high >> (k + 1) for k in range(LEVELS - 1)] + [-1]
-        self.segments, self.rest = [], []
+        lows = [high >> (k + 1) for k in range(LEVELS - 1)] + [0]
+        #: By level: (dimension, vectors, components) of each segment that holds any.
+        self.segments: list[list[tuple[int, np.ndarray, np.ndarray]]] = []
+        self.rest: list[np.ndarray] = []
         for low in lows:
             held = (impact > low) & (impact <= high)
-            self.segments.append(np.where(held, vectors, 0).astype(np.float64))
+            dims, rows = np.nonzero(held.T)
+            cuts = np.flatnonzero(np.diff(dims)) + 1
+            starts = [0, *cuts.tolist()] if len(dims) else []
+            parts = np.split(rows, cuts) if len(dims) else []
+            self.segments.append([(int(dims[s]), p.astype(np.int32), vectors[p, dims[s]].astype(np.float64)) for s, p in zip(starts, parts, strict=True)])
             self.rest.append(np.sqrt((np.where(impact <= low, vectors, 0).astype(np.float64) ** 2).sum(axis=1)))
             high = low
         self.norm = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-        """(query, id, score) of the k best of every query, the query's own rows left out."""
-        q = queries.astype(np.float64)
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int, int]]:
+        """(query, id, times, score) of the k best of every query, the query's own rows left out."""
+        n, wide = self.vectors.shape[0], max(self.vectors.shape[1], queries.shape[1])
+        q = np.zeros((len(query_ids), wide))
+        q[:, : queries.shape[1]] = queries
+        by_dim = np.ascontiguousarray(q.T)
         norm = np.sqrt((q * q).sum(axis=1))
-        own = query_ids[:, None] == self.ids[None, :]
+        own = self.ids[:, None] == query_ids[None, :]
         acc = np.where(own, -np.inf, 0.0)
-        k_here = min(k, len(self.ids))
-        out: list[tuple[int, int, int]] = []
-        possible = None
-        for level, segment in enumerate(self.segments):
-            acc += q @ segment.T
+        k_here = min(k, n)
+        possible = ~own
+        for level, segments in enumerate(self.segments):
+            for dim, rows, values in segments:
+                acc[rows] += values[:, None] * by_dim[dim]
             # The last terms cover the rounding of sums in double precision.
-            slack = norm[:, None] * (self.rest[level] * (1 + 1e-9) + self.norm * 1e-12)[None, :] + 1e-6
-            low, high = acc - slack, acc + slack
-            kth = np.partition(low, len(self.ids) - k_here, axis=1)[:, len(self.ids) - k_here]
-            possible = (high >= kth[:, None]) & ~own
-            if possible.sum(axis=1).max(initial=0) <= k_here + FEW:
+            slack = (self.rest[level] * (1 + 1e-9) + self.norm * 1e-12)[:, None] * norm + 1e-6
+            kth = np.partition(acc - slack, n - k_here, axis=0)[n - k_here]
+            possible = (acc + slack >= kth) & ~own
+            if possible.sum(axis=0).max(initial=0) <= k_here + FEW:
                 break
+        out: list[tuple[int, int, int, int]] = []
+        vectors = np.zeros((n, wide), dtype=np.int64)
+        vectors[:, : self.vectors.shape[1]] = self.vectors
+        exact = q.astype(np.int64)
         for r in range(len(query_ids)):
-            at = np.flatnonzero(possible[r])
-            if not len(at):
-                continue
-            score = exact_products(self.vectors[at], queries[r])
-            best = np.lexsort((self.ids[at], -score))[:k]
-            out += [(int(query_ids[r]), int(self.ids[at[b]]), int(score[b])) for b in best]
+            at = np.flatnonzero(possible[:, r])
+            if len(at):
+                score = exact_products(vectors[at], exact[r])
+                best = np.lexsort((self.ids[at], -score))[:k]
+                out += [(int(query_ids[r]), int(self.ids[at[b]]), int(self.times[at[b]]), int(score[b])) for b in best]
         return out
 
 
@@ -95,39 +114,52 @@ def _matrix(rows: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def _block(k: int):
-    def of(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int, int]] = []
-        if len(vectors) and len(queries):
-            width = max(max(map(len, vectors["v"])), max(map(len, queries["v"])))
-            index = Index(vectors["vec_id"].to_numpy(), _matrix(vectors["v"], width))
-            found = index.search(queries["vec_id"].to_numpy(), _matrix(queries["v"], width), k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    return of
-
-
-def _numbers(n: int) -> Column:
-    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+def _indexed(pdf: pd.DataFrame) -> pd.DataFrame:
+    width = int(pdf["v"].map(len).max())
+    index = Index(pdf["vec_id"].to_numpy(), pdf["times"].to_numpy(), _matrix(pdf["v"], width))
+    return pd.DataFrame({"index": [pickle.dumps(index, protocol=5)]})
 
 
 def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best of every row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     python_ready(spark)
-    rows = written(vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col)).alias("v")).where(
-        "vec_id is not null and v is not null").distinct(), "topk-vectors")
-    asked = F.pmod("vec_id", F.lit(every)) == 0
-    n, n_queries = rows.agg(F.count("*"), F.count(F.when(asked, 1))).first()
-    v_blocks, q_blocks = -(-n // VECTOR_BLOCK) or 1, -(-n_queries // QUERY_BLOCK) or 1
-    block = F.xxhash64("vec_id", "v")
-    left = rows.select("vec_id", "v", F.pmod(block, F.lit(v_blocks)).alias("vb"), F.explode(_numbers(q_blocks)).alias("qb"))
-    right = rows.where(asked).select("vec_id", "v", F.explode(_numbers(v_blocks)).alias("vb"),
-                                     F.pmod(block, F.lit(q_blocks)).alias("qb"))
-    best = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(_block(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    # A repeated query row with another vector would be a second query of the same id; its hits compete with the first's.
-    return best.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    known = vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col)).alias("v")).where("vec_id is not null and v is not null")
+    rows = written(known.groupBy("vec_id", "v").agg(F.count("*").alias("times")), "topk-vectors")
+    n = rows.count()
+    block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(-(-n // VECTOR_BLOCK) or 1))
+    index = written(rows.groupBy(block.alias("block")).applyInPandas(lambda pdf: _indexed(pdf), "index binary"), "topk-index")
+    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    n_queries = asked.count()
+    asked = written(asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(-(-n_queries // QUERY_BLOCK) or 1))).repartition("part"), "topk-queries")
+    done: DataFrame | None = None
+    best: DataFrame | None = None
+    for part in range(-(-n_queries // QUERY_BLOCK) or 1):
+        found = index.mapInPandas(_answers(spark, asked.where(F.col("part") == part), k), "query_id long, vec_id long, times long, score long")
+        best = found if best is None else best.unionByName(found)
+        if part % PARTS == PARTS - 1:  # plans stay short, and broadcasts go
+            kept = written(best, "topk-answers")
+            done, best = kept if done is None else done.unionByName(kept), None
+    best = done if best is None else best if done is None else done.unionByName(best)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "copy")
+    each = best.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), F.least("times", F.lit(k)))).alias("copy"))
+    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _answers(spark, asked: DataFrame, k: int):
+    """Answers a block of queries from rows of indexes; the block, of about ``QUERY_BLOCK`` rows, is broadcast."""
+    block = asked.select("vec_id", "v").toArrow().to_pandas()
+    width = max(map(len, block["v"]), default=0)
+    shared = spark.sparkContext.broadcast((block["vec_id"].to_numpy(), _matrix(block["v"], width)))
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, queries = shared.value
+        for pdf in batches:
+            for stored in pdf["index"]:
+                found = pickle.loads(stored).search(ids, queries, k) if len(ids) else []
+                yield pd.DataFrame(found, columns=["query_id", "vec_id", "times", "score"]).astype("int64")
+
+    return of
 
 
 #: DuckDB twin: every product, ranked.
@@ -135,8 +167,9 @@ ORACLE = """
 with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(cast(x as double) * 256) as bigint)) as v from embeddings
            where vec_id is not null and embedding is not null
              and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+q as (select vec_id, min(v) as v from v where vec_id % 50 = 0 group by vec_id),
 p as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) as bigint) as score
-      from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
+      from q join v c on q.vec_id <> c.vec_id)
 select query_id, cast(rank as int) as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p) where rank <= 5
 """
