@@ -20,16 +20,42 @@ SF = "/root/testdata/sf0.001"
 
 # -- token counts
 
-def test_counts_equal_a_tokenizer(spark):
-    sentencepiece, models = pytest.importorskip("sentencepiece"), pytest.importorskip("tokenizers")
+def some_texts(spark, sf):
+    return [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [
+        "  a  b ", "漢字 x\n\n y\tz  ", "😀😀 ok▁x", "a" * 300 + " " * 40, "abababa" * 30, "ﬁ½ ",  "\x00\r\n"]
+
+
+def test_counts_equal_the_models_own_encoder(spark):
+    sentencepiece = pytest.importorskip("sentencepiece")
     m = token_counts.Unigram.load(token_counts.default_vocabulary())
+    assert isinstance(m, token_counts.Bpe)
+    sp = sentencepiece.SentencePieceProcessor(model_file=token_counts.default_vocabulary())
+    texts = some_texts(spark, "/root/testdata/sf0.01")
+    assert [m.count(t) for t in texts] == [len(x) for x in sp.encode(texts)]
+
+
+def test_unigram_counts_equal_a_tokenizer(spark):
+    """The same pieces and scores, read as a unigram model."""
+    sentencepiece, models = pytest.importorskip("sentencepiece"), pytest.importorskip("tokenizers")
     sp = sentencepiece.SentencePieceProcessor(model_file=token_counts.default_vocabulary())
-    hf = models.Tokenizer(models.models.Unigram([(sp.id_to_piece(i), sp.get_score(i)) for i in range(sp.vocab_size())], unk_id=0, byte_fallback=True))
-    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + ["  a  b ", "漢字 x\n\n y\tz  ", "😀😀 ok▁x", "a" * 300 + " " * 40]
+    pieces = [(sp.id_to_piece(i), sp.get_score(i)) for i in range(sp.vocab_size())]
+    m = token_counts.Unigram([p for i, p in enumerate(pieces) if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i))], byte_fallback=True)
+    hf = models.Tokenizer(models.models.Unigram(pieces, unk_id=0, byte_fallback=True))
+    texts = some_texts(spark, SF)
     want = [len(hf.encode((" " + t).replace(" ", token_counts.SPACE), add_special_tokens=False).ids) for t in texts]
     assert [m.count(t) for t in texts] == want
 
 
+def test_bpe_equals_plain_merging():
+    rng = random.Random(8)
+    for _ in range(60):
+        pieces = list("abc▁") + ["".join(rng.choice("abc▁") for _ in range(rng.randint(2, 4))) for _ in range(12)]
+        m = token_counts.Bpe([(p, float(-k)) for k, p in enumerate(dict.fromkeys(pieces))], byte_fallback=True)
+        for _ in range(60):
+            text = "".join(rng.choice("abc▁é") for _ in range(rng.randint(0, 14)))
+            assert m.viterbi(text) == sum(1 if p in m.rank else len(p.encode()) for p in m.merged(text)), (pieces, text)
+
+
 def test_viterbi_equals_enumeration():
     rng = random.Random(5)
     pieces = {"".join(rng.choice("ab▁") for _ in range(rng.randint(1, 4))): float(-rng.randint(0, 6)) for _ in range(14)} | {"a": -3.0}
@@ -103,6 +129,8 @@ def test_shard_cases(odd, empty, clashing, tmp_path, spark):
         assert next(r["size"] for r in rows if r["doc_id"] == 2) == 16
     assert shards(empty) == []
     sharding.write_shards(odd, str(tmp_path / "out"), n_shards=3)
+    sharding.write_shards(clashing, str(tmp_path / "clash"), n_shards=3)
+    assert spark.read.parquet(str(tmp_path / "clash")).where("shard_ = 'x' and shard < 3").count() == len(ODD)
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(ODD)
 
 
@@ -274,6 +302,20 @@ def test_topk_of_nothing(table):
     assert topk.search(table([(50, [1.0])], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_topk_counts_repeats(table, monkeypatch):
+    """Repeated rows take a rank each; an id with several vectors is asked with the smallest; blocks of any number agree."""
+    rows = [(50, [1.0, 0.0], "x"), (50, [2.0, 0.0], "x"), (50, [1.0, 0.0], "x"), (1, [3.0, 0.0], "x"), (1, [3.0, 0.0], "x"), (2, [4.0], "x"), (None, [9.0, 9.0], "x"),
+            (3, None, "x"), (4, [float("nan"), 1.0], "x"), (100, [0.5, 0.5], "x")]
+    df = table(rows, "vec_id long, embedding array<double>, score string")
+    want = {(50, 1, 2, 262144), (50, 2, 1, 196608), (50, 3, 1, 196608), (50, 4, 100, 32768),
+            (100, 1, 2, 131072), (100, 2, 1, 98304), (100, 3, 1, 98304), (100, 4, 50, 65536), (100, 5, 50, 32768)}
+    assert {tuple(r) for r in topk.search(df).collect()} == want
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 1)
+    monkeypatch.setattr(topk, "VECTOR_BLOCK", 2)
+    monkeypatch.setattr(topk, "PARTS", 1)
+    assert {tuple(r) for r in topk.search(df).collect()} == want
+
+
 def test_topk_large_numbers_are_exact(table):
     """Scores above 2^53 that differ in their last digit."""
     rows = [(0, [1e7, 1.0])] + [(k, [1e7, k / 256]) for k in range(1, 9)]
@@ -370,3 +412,52 @@ def test_mixing_cases(odd, empty, clashing):
         assert mixing.mix(df).count() == len(ODD)
         assert mixing.mixed_documents(df).columns == df.columns
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
+
+
+def test_mixing_ids_of_any_type(table):
+    """Text ids, and a hot source of one repeated row: blocks stay small."""
+    df = table([("a", "one two three", "s")] * 3000 + [("b", "four", "t"), (None, None, None)], "doc_id string, text string, source string")
+    got = mixing.mix(df).collect()
+    assert len(got) == 3002 and sum(r.taken for r in got if r.doc_id == "a") <= 2 * 9000 and {r.doc_id for r in got} == {"a", "b", None}
+
+
+def test_row_ids_hold_for_other_plans(spark, table):
+    """An input that is no plain scan is written first: ids of two reads agree."""
+    from lodestone.llm._util import scanned
+
+    plain = table([(k, f"text {k}", "s") for k in range(50)], "doc_id long, text string, source string")
+    assert scanned(plain) is plain and scanned(plain.where("doc_id > 3")).count() == 46
+    shuffled = plain.repartition(7).orderBy(F.rand())
+    assert {r.doc_id for r in simhash.first_of_each(shuffled).collect()} <= set(range(50))
+    assert mixing.mixed_documents(shuffled).where("text <> concat('text ', doc_id)").count() == 0
+
+
+def test_no_class_is_left_out_of_a_sample(table):
+    from lodestone.llm._util import bounded_sample
+
+    df = table([(k, f"class{k % 1500}") for k in range(6000)] + [(k, "big") for k in range(6000, 20000)] + [(None, None)], "doc_id long, lang string")
+    got = bounded_sample(df, "lang", 100, F.col("doc_id"))
+    n = {r["lang"]: r["count"] for r in got.groupBy("lang").count().collect()}
+    assert len(n) == 1502 and 60 < n["big"] < 150 and n["class7"] == 4 and got.collect() == bounded_sample(df, "lang", 100, F.col("doc_id")).collect()
+
+
+def test_near_copies_equal_brute_force(table):
+    """Families of edited copies around a shared passage: the components of all pairs at 0.8, also just above and below."""
+    rng = random.Random(11)
+    passage = [f"p{k}" for k in range(30)]
+    rows = []
+    for family in range(12):
+        base = [f"f{family}w{k}" for k in range(60)]
+        for _ in range(12):
+            words = list(base)
+            for _ in range(rng.randint(0, 3)):
+                words[rng.randrange(len(words))] = f"e{rng.random()}"
+            rows.append(" ".join(words + passage[: rng.randint(0, 30)] if rng.random() < 0.5 else words))
+    rows += [" ".join(passage)] * 5 + ["", "one two", "one two", None]
+    sets = [frozenset(simhash.shingles_of((t or "").encode()).tolist()) for t in rows]
+    want = components(range(len(rows)), lambda i, j: sets[i] == sets[j] or 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) > 0)
+    got = {r.doc_id: r.component for r in simhash.near_copies(table(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    groups = {}
+    for k in range(len(rows)):
+        groups.setdefault(got[k], set()).add(k)
+    assert {frozenset(g) for g in groups.values()} == want and len(want) < len(rows) - 20

@@ -131,3 +131,16 @@ def test_logistic_separates_and_shrinks():
     p = fit_logistic(x, np.array([0, 0, 1, 1.0]), ridge=0.1)(x)
     assert (p[:2] < 0.5).all() and (p[2:] > 0.5).all()
     assert np.allclose(fit_logistic(x, np.ones(4))(x), 1, atol=0.05)
+
+
+def test_blocks_of_long_sequences_are_exact():
+    rng = np.random.default_rng(0)
+    for _ in range(40):
+        n = rng.integers(0, 40, size=rng.integers(1, 9))
+        e, trans, begin = rng.normal(0, 4, size=int(n.sum())), rng.normal(0, 2, (2, 2)), rng.normal(0, 1, 2)
+        lay = toxicity.Layout(n)
+        laid = np.empty(len(e))
+        laid[lay.index] = e
+        want = toxicity.marginals(laid, lay, trans, begin)[0][lay.index] if len(e) else laid
+        for block in (1, 2, 5, 64):
+            assert not len(e) or np.allclose(want, toxicity.long_marginals(e, n, trans, begin, block), atol=1e-9)
