@@ -162,17 +162,16 @@ class Unigram:
             return self.viterbi(text.replace(" ", SPACE))
         memo = self._memo
         units = UNITS.findall(text)
-        total = 0
-        for u in units:
-            k = memo.get(u)
-            if k is None:
-                k = self.viterbi(u.replace(" ", SPACE))
-                if len(u) <= MEMO_CHARS:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[u] = k
-            total += k
-        return total
+        counts = list(map(memo.get, units))
+        if None in counts:
+            for i, u in enumerate(units):
+                if counts[i] is None:
+                    k = counts[i] = memo.get(u) or self.viterbi(u.replace(" ", SPACE))
+                    if len(u) <= MEMO_CHARS:
+                        if len(memo) >= MEMO:
+                            memo.clear()
+                        memo[u] = k
+        return sum(counts)
 
 
 class Bpe(Unigram):
@@ -209,6 +208,16 @@ class Bpe(Unigram):
         """Pieces of a normalized text: at each position the one piece that may end there, after the piece before it."""
         n = len(text)
         count, last = [0] * (n + 1), [""] * (n + 1)
+        if self.singles.issuperset(text):  # every position has a match, and no piece is unknown
+            follows = self._follows
+            for end, (length, _) in self._built().iter(text):
+                e = end + 1
+                if not last[e]:
+                    piece, before = text[e - length : e], last[e - length]
+                    fits = follows.get((before, piece))
+                    if self.may_follow(before, piece) if fits is None else fits:
+                        last[e], count[e] = piece, count[e - length] + 1
+            return count[n]
         ends: dict[int, list[int]] = {}
         if self.pieces:
             for end, (length, _) in self._built().iter(text):
