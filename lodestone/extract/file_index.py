@@ -12,9 +12,10 @@ import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..options import IndexOptions, language_of
 from ..schema import FACTS, FILE_INDEX
@@ -90,20 +91,22 @@ def extract(files: DataFrame, options: IndexOptions | None = None) -> DataFrame:
     ship_package(spark)
     options = options or IndexOptions()
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    shape = to_arrow_schema(FILE_INDEX)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             ready, size = [], 0
-            for path, text, mtime in zip(pdf["path"], pdf["text"], pdf["mtime"], strict=True):
-                ready.append(index_file(path, text, options=options, mtime=int(mtime)))
-                size += len(text)
+            for row in batch.to_pylist():
+                ready.append(index_file(row["path"], row["text"], options=options, mtime=row["mtime"]))
+                size += len(row["text"])
                 if size >= OUT_CHARS:  # a record can be many times its text
-                    yield pd.DataFrame(ready)
+                    yield pa.RecordBatch.from_pylist(ready, shape)
                     ready, size = [], 0
             if ready:
-                yield pd.DataFrame(ready)
+                yield pa.RecordBatch.from_pylist(ready, shape)
 
     wanted = files.where("text is not null and path is not null").select("path", "text", F.coalesce(F.col("mtime"), F.lit(0)).cast("long").alias("mtime"))
-    return wanted.mapInPandas(of, FILE_INDEX)
+    return wanted.mapInArrow(of, FILE_INDEX)
 
 
 def relation(indexed: DataFrame, name: str) -> DataFrame:

@@ -28,6 +28,8 @@ AGGREGATES = frozenset("struct union enum class".split())
 ATTRIBUTE = frozenset("__attribute__ __attribute __declspec _Alignas alignas __asm__ asm __asm _Static_assert static_assert".split())
 CONTROL = frozenset("if while switch for do else return goto break continue case default try catch".split())
 NOT_CALLED = HARD - STORAGE
+#: How far before the first token a look back may reach.
+MARGIN = 8
 MACRO_SHAPE = re.compile(r"__[a-z]\w*|[A-Z][A-Z0-9_]*[A-Z][A-Z0-9_]*")
 
 
@@ -63,6 +65,9 @@ class Parser:
     def __init__(self, text: str, path: str, lang: str):
         self.text, self.path, self.cpp = text, path, lang == "cpp"
         self.t, self.lines, self.errors = tokenize(text)
+        # Texts and kinds by index, with empty ones on both sides: a negative index reads the end of the list.
+        self.words = [t.text for t in self.t] + [""] * MARGIN
+        self.ids = [t.kind == "id" for t in self.t] + [False] * MARGIN
         self.pair, lost = match_brackets(self.t)
         self.errors += lost
         self.facts = Facts(source="ts")
@@ -73,10 +78,16 @@ class Parser:
     # -- small views of the token list
 
     def at(self, i: int) -> str:
-        return self.t[i].text if 0 <= i < len(self.t) else ""
+        try:
+            return self.words[i]
+        except IndexError:
+            return ""
 
     def is_id(self, i: int) -> bool:
-        return 0 <= i < len(self.t) and self.t[i].kind == "id"
+        try:
+            return self.ids[i]
+        except IndexError:
+            return False
 
     def close(self, i: int) -> int:
         return self.pair.get(i, i)
@@ -252,10 +263,9 @@ class Parser:
             elif self.is_id(i) and word not in HARD:
                 stop = self.qualified(i)
                 nxt = self.at(stop)
-                more = self.is_id(stop) or nxt in ("*", "&", "&&") or (nxt == "(" and self.at(stop + 1) in ("*", "^") and not fixed and not names)
+                pointer = nxt == "(" and self.at(stop + 1) in ("*", "^")  # a name before (*f)(…) is a type or a macro
+                more = self.is_id(stop) or nxt in ("*", "&", "&&") or (pointer and (not fixed and not names or self.at(self.close(stop) + 1) == "("))
                 more = more or nxt == "operator" or (self.attribute(stop) != stop and not self.ends_declarator(self.attribute(stop)))
-                if nxt in ("*", "&", "&&") and (fixed or names) and False:
-                    more = False
                 if not more or (nxt in QUALIFIERS and self.at(stop + 1) in ("{", ";")):
                     break
                 if self.is_id(stop) and nxt in CONTROL:
@@ -494,7 +504,7 @@ class Parser:
         local = self.func is not None and owner is None
         if i == begin and not local and self.is_id(i) and self.at(i + 1) == "(" and self.at(i) not in HARD:
             stop = self.close(i + 1)
-            if self.at(stop + 1) not in ("{", ":", "->", "const", "noexcept") and owner is None:
+            if self.at(stop + 1) not in ("{", ":", "->", "const", "noexcept") and owner is None and self.old_body(i + 1, stop + 1, end) < 0:
                 # No type: a macro invocation, which may lack its semicolon.
                 self.expression(i, stop + 1)
                 return stop + 2 if self.at(stop + 1) == ";" else stop + 1
@@ -511,7 +521,10 @@ class Parser:
             if first and d.name >= 0 and d.params >= 0 and not d.pointer and not s.typedef:
                 body = self.body_of(after, end)
                 if body >= 0:
-                    return self.function(s, d, body, begin, owner)
+                    return self.function(s, d, body, begin)
+                body = self.old_body(d.params, after, end) if not local and owner is None else -1
+                if body >= 0:
+                    return self.function(s, d, body, begin, old=True)
             if d.name < 0 and not (owner is not None and self.at(after) == ":"):
                 if self.at(i) == "{" or self.at(after) == "{":
                     k = i if self.at(i) == "{" else after
@@ -588,6 +601,21 @@ class Parser:
             i = self.close(i) + 1 if word in ("(", "[") else i + 1
         return -1
 
+    def old_body(self, open_: int, i: int, end: int) -> int:
+        """Index of the body's brace of ``f(a, b) int a; char b; {``, a list of names with declarations of them after it, or -1."""
+        inside = [self.at(j) for j in range(open_ + 1, min(self.close(open_), end))]
+        names = set(inside[::2])
+        if self.cpp or not names or set(inside[1::2]) - {","} or not all(self.is_id(j) for j in range(open_ + 1, self.close(open_), 2)):
+            return -1
+        while self.is_id(i) and i < end:
+            stop = self.to_semicolon(i, end)
+            if self.at(stop) != ";" or not any(self.at(j) in names for j in range(i + 1, stop)):
+                return -1
+            i = stop + 1
+            if self.at(i) == "{":
+                return i
+        return -1
+
     def promote(self, s: Spec, owner: str) -> None:
         """Fields of an unnamed, nameless member belong to the aggregate around it."""
         for row in s.fields:
@@ -638,17 +666,38 @@ class Parser:
             self.expression(d.after + 1, end)
         return s.type_text
 
-    def function(self, s: Spec, d: Declarator, body: int, begin: int, owner: str | None) -> int:
+    def old_parameters(self, open_: int, body: int) -> tuple[int, str]:
+        """Arity and types of a list of names by the declarations between it and the body; undeclared ones are int."""
+        names = [j for j in range(open_ + 1, self.close(open_)) if self.is_id(j)]
+        kinds: dict[str, str] = {}
+        for j in names:
+            self.ref(j, "value")
+        i = self.close(open_) + 1
+        while i < body:
+            s, k = self.specifiers(i, body)
+            while k < body and (d := self.declarator(k, body)).name >= 0:
+                t = self.t[d.name]
+                kinds[t.text] = s.type_text
+                self.ref(d.name, "value")
+                self.facts.local(t.text, "parameter", self.func, t.line, t.col, s.tag, self.function_type(s, d))
+                if d.params >= 0:
+                    self.parameters(d.params, False)
+                k = d.after + 1 if self.at(d.after) == "," else body
+            i = self.to_semicolon(i, body) + 1
+        return len(names), ",".join(kinds.get(self.at(j), "int") for j in names)
+
+    def function(self, s: Spec, d: Declarator, body: int, begin: int, old: bool = False) -> int:
         outer, self.func = self.func, d.name_text
         for j in range(begin, d.params):
             if j in self.refs:
                 self.refs[j]["func"] = self.func
-        arity, kinds = self.parameters(d.params, True)
+        arity, kinds = self.old_parameters(d.params, body) if old else self.parameters(d.params, True)
         self.symbol(d.name, "function", d.name_text, signature=self.span(d.start, self.close(d.params) + 1), return_type=s.type_text,
                     storage=" ".join(s.storage), arity=arity, param_types=kinds)
         if self.is_id(d.name) and self.at(d.name) != "operator":
             self.ref(d.name, "value")
-        self.expression(self.close(d.params) + 1, body)
+        if not old:
+            self.expression(self.close(d.params) + 1, body)
         stop = min(self.close(body), len(self.t))
         self.statements(body + 1, stop)
         self.func = outer
@@ -670,6 +719,8 @@ class Parser:
         function = d.params >= 0 and not d.pointer
         if owner is not None:
             if not s.type_text and not s.tag and function:  # constructors and destructors in their class
+                if is_name:
+                    self.ref(d.name, "value")
                 self.parameters(d.params, False)
                 return
             if is_name:

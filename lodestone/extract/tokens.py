@@ -39,31 +39,31 @@ def tokenize(text: str) -> tuple[list[Token], list[Directive], int]:
     tokens: list[Token] = []
     lines: list[Directive] = []
     bad = 0
-    starts = [0] + [m.end() for m in re.finditer("\n", text)]
+    starts = [0] + [m.end() for m in re.finditer("\n", text)] + [len(text) + 1]
     at, row, n = 0, 0, len(text)
-    fresh = True  # nothing but blanks on the line so far
+    match = _TOKEN.match
+    fresh = True  # nothing but blanks and comments on the line so far
     while at < n:
-        if fresh and (m := _DIRECTIVE.match(text, at)):
-            while row + 1 < len(starts) and starts[row + 1] <= m.start(2):
+        if fresh and text[at] == "#":
+            m = _DIRECTIVE.match(text, at)
+            while starts[row + 1] <= m.start(2):
                 row += 1
             lines.append(Directive(m[1], m[2], m.start(2), row, m.start(2) - starts[row]))
             at = m.end()
             continue
-        m = _TOKEN.match(text, at)
-        at = m.end()
-        if m["skip"] is not None:
-            fresh = fresh or "\n" in m["skip"]
-            if "\n" in m["skip"] and (tail := text.rfind("\n", m.start(), at) + 1) and text[tail:at].strip() == "":
-                at = tail if tail > m.start() else at
-                fresh = True
+        m = match(text, at)
+        begin, at = m.span()
+        kind = m.lastgroup
+        if kind == "skip":
+            fresh = fresh or "\n" in m[0]
             continue
-        while row + 1 < len(starts) and starts[row + 1] <= m.start():
-            row += 1
         fresh = False
-        if m["bad"] is not None:
+        if kind == "bad":
             bad += 1
             continue
-        tokens.append(Token(m.lastgroup, m[0], m.start(), row, m.start() - starts[row]))
+        while starts[row + 1] <= begin:
+            row += 1
+        tokens.append(Token(kind, text[begin:at], begin, row, begin - starts[row]))
     return tokens, lines, bad
 
 

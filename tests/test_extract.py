@@ -215,6 +215,32 @@ def test_cpp():
     assert [(s["kind"], s["is_definition"]) for s in idx["symbols"]] == [("global_variable", False)] * 2
 
 
+def test_old_style_definitions():
+    idx = index("struct cell *seek(from, key, same)\nregister struct cell *from; long key;\nint (*same)();\n{ return from->next; }\n"
+                "main(argc, argv) char **argv; { return seek(argv); }\nint later(a, b);\nint after(void) { return 1; }\n")
+    assert [(s["name"], s["kind"], s["arity"], s["param_types"]) for s in idx["symbols"]] == [
+        ("seek", "function", 3, "struct cell,long,int"), ("main", "function", 2, "int,char"), ("later", "prototype", 2, "a,b"), ("after", "function", 0, "")]
+    assert [(x["func"], x["name"]) for x in idx["locals"]] == [("seek", "from"), ("seek", "key"), ("seek", "same"), ("main", "argv")]
+    assert owner(index("struct cell { int next; };\nint seek(c) struct cell *c; {\n return c->next; }\n"), "next", 2) == "cell"
+    assert names(index("int f(a) NOTED; int x; struct s { int y; };\n")) == ["f", "x", "s", "y"]
+
+
+@pytest.mark.parametrize("text", ["typedef struct { int a; } PACKED Told;", "typedef struct tag BOXED Told;", "typedef long lowered Told;",
+                                  "typedef struct { int a; } ALIGN(4) Told;", "typedef unsigned FAR_CALL (*Told)(int);", "typedef struct { int a; }\nPACKED\nTold;"])
+def test_macros_in_typedefs(text):
+    assert names(index(text), "typedef") == ["Told"]
+
+
+def test_constructors_and_scopes():
+    idx = index("class Pot { public: Pot(int n) : held(n) { fill(n); } Pot(); virtual ~Pot(); int held; };\n"
+                "Pot::~Pot() { drop(); }\nint shop::shelf::Pot::weigh(int by) { return by; }\n", "/t.cpp")
+    assert [(s["name"], s["kind"], s["arity"]) for s in idx["symbols"]] == [
+        ("Pot", "class", None), ("Pot", "function", 1), ("held", "field", None), ("~Pot", "function", None), ("weigh", "function", 1)]
+    assert [(c["caller"], c["callee"]) for c in idx["calls"]] == [("Pot", "held"), ("Pot", "fill"), ("~Pot", "drop")]
+    assert [r["role"] for r in idx["refs"] if r["name"] in ("shop", "shelf")] == ["namespace", "namespace"]
+    assert sum(r["name"] == "Pot" for r in idx["refs"]) == 7
+
+
 def test_macro_wrapped_variables():
     for kb in (2048, 0):
         idx = index("U32 IN_BANK(gTicks, 4);\nFoo_t LAID(ALIGNED(gRows[8], 4), FAST);\nvoid RESET(void);\n", max_file_size_kb=kb)
