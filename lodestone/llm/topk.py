@@ -11,7 +11,8 @@ the smaller id.
 
 Vectors move once, to their block; an index is a row of a written table and stays where it is. Queries go out in blocks of
 ``QUERY_BLOCK``, a broadcast of bounded size each, and every index row answers with its k best of each query; a second
-step keeps the best k of these. No unit grows with the input.
+step keeps the best k of these. A task that reads several indexes hands on, from one to the next, the score that k
+candidates of each query already reach, so later ones stop sooner and answer with fewer rows. No unit grows with the input.
 
 Defined cases: a vector that is null, or holds a null or non-finite component, takes no part. Vectors of other lengths
 are as if padded with zeros. An id is asked once, with its smallest vector if it has several; rows of the query's own id
@@ -33,6 +34,8 @@ from ._util import python_ready, written
 
 VECTOR_BLOCK, QUERY_BLOCK = 2048, 2048
 LEVELS = 6
+#: Queries that read the segments together.
+GROUP = 128
 #: Blocks of queries after which their answers are written.
 PARTS = 16
 #: Possible members a query, beyond k, at which rescoring is cheaper than reading another level.
@@ -67,8 +70,20 @@ class Index:
             high = low
         self.norm = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int, int]]:
-        """(query, id, times, score) of the k best of every query, the query's own rows left out."""
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
+        """(query, id, times, score) of the k best of every query, the query's own rows left out.
+
+        ``floor`` has a score for each query that k candidates of other blocks are known to reach: members below it may
+        be left out. Queries are read in groups, so that a group's accumulators stay in cache and it stops on its own.
+        """
+        floor = np.full(len(query_ids), -np.inf) if floor is None else floor
+        out: list[tuple[int, int, int, int]] = []
+        for a in range(0, len(query_ids), GROUP):
+            part = slice(a, a + GROUP)
+            out += self._search(query_ids[part], queries[part], k, floor[part])
+        return out
+
+    def _search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray) -> list[tuple[int, int, int, int]]:
         n, wide = self.vectors.shape[0], max(self.vectors.shape[1], queries.shape[1])
         q = np.zeros((len(query_ids), wide))
         q[:, : queries.shape[1]] = queries
@@ -82,9 +97,17 @@ class Index:
             for dim, rows, values in segments:
                 acc[rows] += values[:, None] * by_dim[dim]
             # The last terms cover the rounding of sums in double precision.
-            slack = (self.rest[level] * (1 + 1e-9) + self.norm * 1e-12)[:, None] * norm + 1e-6
-            kth = np.partition(acc - slack, n - k_here, axis=0)[n - k_here]
-            possible = (acc + slack >= kth) & ~own
+            rest = (self.rest[level] * (1 + 1e-9) + self.norm * 1e-12)[:, None]
+
+            def reach(some: slice, rest: np.ndarray = rest) -> np.ndarray:
+                slack = rest * norm[some] + 1e-6
+                kth = np.maximum(np.partition(acc[:, some] - slack, n - k_here, axis=0)[n - k_here], floor[some])
+                return (acc[:, some] + slack >= kth) & ~own[:, some]
+
+            # One query that must read on spares the others the test.
+            if level < LEVELS - 1 and reach(slice(0, 1)).sum() > k_here + FEW:
+                continue
+            possible = reach(slice(None))
             if possible.sum(axis=0).max(initial=0) <= k_here + FEW:
                 break
         out: list[tuple[int, int, int, int]] = []
@@ -154,9 +177,16 @@ def _answers(spark, asked: DataFrame, k: int):
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, queries = shared.value
+        # The k best scores of each query among the blocks that this task has read.
+        best = np.full((len(ids), k), -np.inf)
+        place = {int(q): r for r, q in enumerate(ids)}
         for pdf in batches:
             for stored in pdf["index"]:
-                found = pickle.loads(stored).search(ids, queries, k) if len(ids) else []
+                found = pickle.loads(stored).search(ids, queries, k, best.min(axis=1)) if len(ids) else []
+                for query, _, _, score in found:
+                    row = best[place[query]]
+                    low = row.argmin()
+                    row[low] = max(row[low], score)
                 yield pd.DataFrame(found, columns=["query_id", "vec_id", "times", "score"]).astype("int64")
 
     return of

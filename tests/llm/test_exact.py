@@ -316,6 +316,29 @@ def test_topk_counts_repeats(table, monkeypatch):
     assert {tuple(r) for r in topk.search(df).collect()} == want
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_topk_floors_of_other_blocks_lose_nothing(monkeypatch, seed):
+    """Blocks read one after the other with the best scores so far give the best of all rows, ties included."""
+    monkeypatch.setattr(topk, "GROUP", 3)
+    rng = np.random.default_rng(seed)
+    ids, vectors = rng.permutation(700), rng.integers(-4, 5, (700, 6)) if seed % 2 else rng.integers(-(2**20), 2**20, (700, 6))
+    asked = np.flatnonzero(ids % 50 == 0)
+    queries, best, found, sent = vectors[asked], np.full((len(asked), 5), -np.inf), {int(ids[a]): [] for a in asked}, 0
+    place = {int(ids[a]): r for r, a in enumerate(asked)}
+    for low in range(0, 700, 100):
+        index = topk.Index(ids[low : low + 100], np.ones(100, dtype=np.int64), vectors[low : low + 100])
+        for q, i, _, score in index.search(ids[asked], queries, 5, best.min(axis=1)):
+            found[q].append((-score, i))
+            row = best[place[q]]
+            row[row.argmin()] = max(row.min(), score)
+            sent += 1
+    for a in asked:
+        scores = vectors @ vectors[a]
+        want = sorted((-int(scores[r]), int(ids[r])) for r in range(700) if r != a)[:5]
+        assert sorted(found[int(ids[a])])[:5] == want
+    assert sent < len(asked) * 35  # later blocks answer with fewer rows
+
+
 def test_topk_large_numbers_are_exact(table):
     """Scores above 2^53 that differ in their last digit."""
     rows = [(0, [1e7, 1.0])] + [(k, [1e7, k / 256]) for k in range(1, 9)]
