@@ -686,6 +686,19 @@ class Parser:
             i = self.to_semicolon(i, body) + 1
         return len(names), ",".join(kinds.get(self.at(j), "int") for j in names)
 
+    def initializers(self, i: int, end: int) -> None:
+        """Members and bases that a constructor sets, ``name(…)`` or ``name{…}``: no calls, but their values may hold some."""
+        while i < end:
+            stop = self.qualified(i)
+            names = [j for j in range(i, stop) if self.is_id(j) and self.at(j) not in HARD and self.at(j) not in PRIMITIVE]
+            outer = [j for j in names if self.at(j + 1) in ("::", "<", "(", "{")]
+            for j in names:
+                self.ref(j, "type" if j not in outer else "namespace" if self.at(j + 1) == "::" else "field")
+            self.expression(stop + 1, self.close(stop))
+            i = max(self.close(stop), stop) + 1
+            while i < end and self.at(i) in (",", "..."):
+                i += 1
+
     def function(self, s: Spec, d: Declarator, body: int, begin: int, old: bool = False) -> int:
         outer, self.func = self.func, d.name_text
         for j in range(begin, d.params):
@@ -697,7 +710,12 @@ class Parser:
         if self.is_id(d.name) and self.at(d.name) != "operator":
             self.ref(d.name, "value")
         if not old:
-            self.expression(self.close(d.params) + 1, body)
+            k = colon = self.close(d.params) + 1
+            while self.cpp and colon < body and self.at(colon) != ":":
+                colon = self.close(colon) + 1 if self.at(colon) in ("(", "[") else colon + 1
+            self.expression(k, colon if self.cpp else body)
+            if self.cpp:
+                self.initializers(colon + 1, body)
         stop = min(self.close(body), len(self.t))
         self.statements(body + 1, stop)
         self.func = outer

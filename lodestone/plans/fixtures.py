@@ -24,11 +24,18 @@ SOURCES = {
     "geo.hpp": "namespace geo {\nclass Shape {\npublic:\n  int sides() { return this->n; }\n  bool operator==(const Shape& o);\n  int n;\n};\nusing Count = unsigned;\n"
                "template<typename T> T twice(T v) { return v + v; }\n}\nextern \"C\" { int c_api(int a); }\ngeo::Shape::~Shape() { release(this); }\n",
 }
+#: Names that macros, old parameter lists, constructors and scopes stand around.
+REPAIRS = {
+    "old.c": "int fold(xs, n)\nint *xs; long n;\n{\n  return xs[n];\n}\ntypedef struct { int lid; } SEALED jar_t;\ntypedef struct jar BOXED jar_alias;\n"
+             "typedef long CDECL (*pour_t)(jar_t *);\n",
+    "pot.cpp": "class Pot {\npublic:\n  Pot(int n) : held(n) { fill(n); }\n  virtual ~Pot();\n  int held;\n};\n"
+               "int shop::shelf::Pot::weigh(int by) { return held + by; }\nnamespace shop::shelf { int count; }\n",
+}
 CURSORS = [("point.c", 4, "x *"), ("point.c", 5, "next"), ("main.c", 4, "area"), ("main.c", 6, "origin"), ("point.h", 2, "y"), ("main.c", 3, "done"), ("main.c", 8, "run")]
 
 
-def _indexed(spark: SparkSession, grep: bool = False) -> DataFrame:
-    rows = buffers(spark, [(p, t, 1) for p, t in SOURCES.items()])
+def _indexed(spark: SparkSession, grep: bool = False, sources: dict[str, str] = SOURCES) -> DataFrame:
+    rows = buffers(spark, [(p, t, 1) for p, t in sources.items()])
     return extract(rows, IndexOptions(max_file_size_kb=0 if grep else 2048))
 
 
@@ -42,10 +49,10 @@ COLUMNS = {
 }
 
 
-def facts(spark: SparkSession, part: str, grep: bool = False) -> DataFrame:
+def facts(spark: SparkSession, part: str, grep: bool = False, sources: dict[str, str] = SOURCES) -> DataFrame:
     from pyspark.sql import functions as F
 
-    rows = relation(_indexed(spark, grep), part)
+    rows = relation(_indexed(spark, grep, sources), part)
     if part == "refs":
         rows = rows.withColumn("obj_chain", F.array_join("obj_chain", " "))
     return rows.select(*COLUMNS[part].split(", "))

@@ -1,12 +1,59 @@
 """The rows that the fixture queries must give, one to a line, columns cut by bars, ``-`` for null.
 
-Written out from a run and then read line by line against the sources in ``fixtures``; in DuckDB they are the twins of
-these queries.
+Those of ``extract_repairs`` were written by hand from the sources before any run; the others were written out from a run
+and then read line by line against the sources in ``fixtures``. In DuckDB they are the twins of these queries.
 """
 
 from __future__ import annotations
 
 ROWS: dict[str, tuple[str, str]] = {
+    "extract_repairs_symbols": ("file varchar, name varchar, kind varchar, line int, col int, is_definition boolean, scope varchar, data_type varchar, decl_type varchar, signature varchar, return_type varchar, storage varchar, arity int, param_types varchar", """
+old.c|fold|function|0|4|true||||fold(xs, n)|int||2|int,long
+old.c|lid|field|5|21|true|jar_t||int||||-|
+old.c|jar_t|typedef|5|35|true|||||||-|
+old.c|jar_alias|typedef|6|25|true|||||||-|
+old.c|pour_t|typedef|7|21|true|||||||-|
+pot.cpp|Pot|class|0|6|true|||||||-|
+pot.cpp|Pot|function|2|2|true||||Pot(int n)|||1|int
+pot.cpp|held|field|4|6|true|Pot||int||||-|
+pot.cpp|weigh|function|6|22|true||||shop::shelf::Pot::weigh(int by)|int||1|int
+pot.cpp|shop|namespace|7|10|true|||||||-|
+pot.cpp|shelf|namespace|7|16|true|||||||-|
+pot.cpp|count|global_variable|7|28|true|||int||||-|
+"""),
+    "extract_repairs_refs": ("file varchar, line int, col int, name varchar, role varchar, is_local boolean, enclosing_func varchar, owner varchar, obj_chain varchar", """
+pot.cpp|0|6|Pot|type|false|-||
+pot.cpp|2|2|Pot|value|false|Pot||
+pot.cpp|2|10|n|value|true|Pot||
+pot.cpp|2|15|held|field|false|Pot||
+pot.cpp|2|20|n|value|true|Pot||
+pot.cpp|2|25|fill|value|false|Pot||
+pot.cpp|2|30|n|value|true|Pot||
+pot.cpp|3|11|Pot|value|false|-||
+pot.cpp|4|6|held|field|false|-|Pot|
+pot.cpp|6|4|shop|namespace|false|weigh||
+pot.cpp|6|10|shelf|namespace|false|weigh||
+pot.cpp|6|17|Pot|namespace|false|weigh||
+pot.cpp|6|22|weigh|value|false|weigh||
+pot.cpp|6|32|by|value|true|weigh||
+pot.cpp|6|45|held|value|false|weigh||
+pot.cpp|6|52|by|value|true|weigh||
+pot.cpp|7|10|shop|namespace|false|-||
+pot.cpp|7|16|shelf|namespace|false|-||
+pot.cpp|7|28|count|value|false|-||
+"""),
+    "extract_repairs_calls": ("file varchar, line int, col int, caller varchar, callee varchar", """
+pot.cpp|2|25|Pot|fill
+"""),
+    "extract_repairs_locals": ("file varchar, func varchar, name varchar, kind varchar, line int, col int, data_type varchar, decl_type varchar", """
+old.c|fold|xs|parameter|1|5||int
+old.c|fold|n|parameter|1|14||long
+pot.cpp|Pot|n|parameter|2|10||int
+pot.cpp|weigh|by|parameter|6|32||int
+"""),
+    "extract_repairs_aliases": ("file varchar, name varchar, target varchar", """
+old.c|jar_alias|jar
+"""),
     "extract_fixture_symbols": ("file varchar, name varchar, kind varchar, line int, col int, is_definition boolean, scope varchar, data_type varchar, decl_type varchar, signature varchar, return_type varchar, storage varchar, arity int, param_types varchar", """
 geo.hpp|geo|namespace|0|10|true|||||||-|
 geo.hpp|Shape|class|1|6|true|||||||-|

@@ -562,6 +562,9 @@ def _fixture(name: str, f: Query) -> None:
 
 for _part in ("symbols", "refs", "calls", "locals", "aliases"):
     _fixture(f"extract_fixture_{_part}", lambda s, d, part=_part: fixtures.facts(s, part))
+for _part in ("symbols", "refs", "calls", "locals", "aliases"):
+    _fixture(f"extract_repairs_{_part}", lambda s, d, part=_part: fixtures.facts(s, part, sources=fixtures.REPAIRS).where(
+        F.lit(part != "refs") | (F.col("file") == "pot.cpp")))
 for _part in ("symbols", "refs", "calls"):
     _fixture(f"grep_fixture_{_part}", lambda s, d, part=_part: fixtures.facts(s, part, grep=True))
 _fixture("macro_wrapped_vars", lambda s, d: fixtures.facts(s, "symbols").where("file = 'wrapped.c'"))

@@ -236,9 +236,13 @@ def test_constructors_and_scopes():
                 "Pot::~Pot() { drop(); }\nint shop::shelf::Pot::weigh(int by) { return by; }\n", "/t.cpp")
     assert [(s["name"], s["kind"], s["arity"]) for s in idx["symbols"]] == [
         ("Pot", "class", None), ("Pot", "function", 1), ("held", "field", None), ("~Pot", "function", None), ("weigh", "function", 1)]
-    assert [(c["caller"], c["callee"]) for c in idx["calls"]] == [("Pot", "held"), ("Pot", "fill"), ("~Pot", "drop")]
+    assert [(c["caller"], c["callee"]) for c in idx["calls"]] == [("Pot", "fill"), ("~Pot", "drop")]
     assert [r["role"] for r in idx["refs"] if r["name"] in ("shop", "shelf")] == ["namespace", "namespace"]
     assert sum(r["name"] == "Pot" for r in idx["refs"]) == 7
+    assert [(r["role"], r["owner"]) for r in idx["refs"] if r["name"] == "held"] == [("field", ""), ("field", "Pot")]
+    idx = index("struct Mug : Cup { Mug(int n) noexcept : Cup{n}, a::Lid<int>(make(n)), rest(n)... { } };\n", "/t.cpp")
+    assert [c["callee"] for c in idx["calls"]] == ["make"]
+    assert [(r["name"], r["role"]) for r in idx["refs"] if r["name"] in ("a", "Lid", "rest")] == [("a", "namespace"), ("Lid", "field"), ("rest", "field")]
 
 
 def test_macro_wrapped_variables():
