@@ -68,7 +68,7 @@ def enclosing_functions(points: DataFrame, ranges: DataFrame) -> DataFrame:
     keys = points.columns
     tiled = ranges.select(F.col("file").alias("f_"), "name", "start_line", "end_line", F.explode(
         F.sequence(F.floor(F.col("start_line") / BUCKET), F.floor(F.col("end_line") / BUCKET))).alias("bucket_"))
-    placed = points.withColumn("place_", F.xxhash64("file", "line")).select("file", "line", "place_").distinct().withColumn("b_", F.floor(F.col("line") / BUCKET))
+    placed = points.select("file", "line").distinct().withColumn("b_", F.floor(F.col("line") / BUCKET))
     inside = placed.join(tiled, (F.col("file") == F.col("f_")) & (F.col("b_") == F.col("bucket_"))).where(F.col("line").between(F.col("start_line"), F.col("end_line")))
     best = inside.groupBy("file", "line").agg(F.max_by("name", F.struct("start_line", "name")).alias("func"))
     return points.join(best, ["file", "line"], "left").select(*keys, "func")

@@ -97,7 +97,8 @@ def chain_owners(chains: DataFrame, symbols: DataFrame, local_rows: DataFrame, a
     The root is a marked type, the return type of a marked call, a local of the function, or a defined global variable;
     every further element is a field of what came before. One join for each hop, up to the longest chain.
     """
-    keyed = chains.select("file", "func", "chain").distinct().withColumn("k", F.xxhash64("file", "func", "chain"))
+    # The key is the place itself, as a struct: a hash would mix up places among very many, and its nulls compare equal.
+    keyed = chains.select("file", "func", "chain").distinct().withColumn("k", F.struct("file", "func", "chain"))
     root = F.get("chain", F.lit(0))
     place = F.struct("file", "ord")
     local_types = local_rows.where("data_type <> ''").groupBy("file", "func", "name").agg(F.min_by("data_type", "ord").alias("local_type"))
@@ -112,15 +113,15 @@ def chain_owners(chains: DataFrame, symbols: DataFrame, local_rows: DataFrame, a
              .join(returns.withColumnRenamed("name", "c_"), F.col("called") == F.col("c_"), "left"))
     tag = (F.when(root.startswith("@type:"), F.substr(root, F.lit(7))).when(F.col("called").isNotNull(), aggregate_tag(F.col("return_type")))
            .otherwise(F.coalesce("local_type", "global_type")))
-    state = settled(typed.select("k", "file", "func", "chain", tag.alias("tag")), "chains")
-    longest = state.agg(F.max(F.size("chain"))).first()[0] or 0
+    state = settled(typed.select("k", tag.alias("tag")), "chains")
+    longest = state.agg(F.max(F.size("k.chain"))).first()[0] or 0
     fields = symbols.where("kind = 'field' and is_definition").select(F.col("file").alias("ff"), "ord", "name", "scope", "data_type")
     for hop in range(1, longest):
-        element = F.get("chain", F.lit(hop))
-        going = state.where((F.size("chain") > hop) & F.col("tag").isNotNull())
+        element = F.get("k.chain", F.lit(hop))
+        going = state.where((F.size("k.chain") > hop) & F.col("tag").isNotNull())
         candidates = candidate_tags(going, aliases)
         owned = fields_of_type(going.join(fields, element == F.col("name")).select("k", "tag", "scope", "ff", "ord", "data_type"), candidates, ["k"])
         reached = owned.where("data_type <> ''").groupBy("k").agg(F.min_by("data_type", F.struct("ff", "ord")).alias("next_"))
         state = settled(state.join(reached, "k", "left").select(
-            "k", "file", "func", "chain", F.when(F.size("chain") > hop, F.col("next_")).otherwise(F.col("tag")).alias("tag")), "chains")
-    return state.select("file", "func", "chain", F.col("tag").alias("chain_owner"))
+            "k", F.when(F.size("k.chain") > hop, F.col("next_")).otherwise(F.col("tag")).alias("tag")), "chains")
+    return state.select("k.*", F.col("tag").alias("chain_owner"))

@@ -159,6 +159,14 @@ def test_typedef_chains_have_no_bound(spark):
     assert {(r.hop, r.depth) for r in got} == {(f"t{k}", k) for k in range(67)}
 
 
+def test_chains_outside_functions(spark, index):
+    """A chain of no function is a place like any other, over several hops and beside one of a function."""
+    chains = spark.createDataFrame([("use.c", None, ["gA", "rtf"]), ("use.c", "use", ["gA", "rtf"]), ("use.c", None, ["gA", "rtf"]), ("use.c", None, ["none", "rtf"]),
+                                    (None, None, ["gA"])], "file string, func string, chain array<string>")
+    got = {(r.file, r.func, *r.chain): r.chain_owner for r in chain_owners(chains, index.symbols, index.locals, index.aliases).collect()}
+    assert got == {("use.c", None, "gA", "rtf"): "Inner_s", ("use.c", "use", "gA", "rtf"): "Inner_s", ("use.c", None, "none", "rtf"): None, (None, None, "gA"): "A_t"}
+
+
 def names_of(ix):
     return sorted(r["name"] for r in ix.symbols.collect())
 
