@@ -281,14 +281,12 @@ def _field_refs(spark, sf):
                                   F.lit(0).alias("req_line"), F.lit(None).cast("string").alias("func"), F.lit(False).alias("is_local"), F.lit("T4").alias("owner"),
                                   F.array().cast("array<string>").alias("obj_chain"), F.array().cast("array<string>").alias("member_chain"),
                                   F.lit(None).cast("string").alias("object_name"), F.lit(False).alias("is_member_access"), F.lit(None).cast("int").alias("call_arity"))
-    # The place of a reference stands in for its number, so that the operator's own columns carry it.
-    chained = _with_chain(refs)
-    numbered = chained.withColumns({"line_": F.col("line"), "line": F.col("ord")})
-    got = resolve.references_at(asked, symbols, numbered, local_rows, aliases).select(F.col("line").alias("ord"))
+    # What a reference is asked for stands in for its line, so that the operator's own columns carry it: numbers (``ord``) repeat.
+    carried = _with_chain(refs).withColumn("line", F.struct("ord", "owner", F.col("file").alias("in_file"), F.col("enclosing_func").alias("in_func"), "root"))
+    got = resolve.references_at(asked, symbols, carried, local_rows, aliases).select("line.*")
     roots = _owner_query(spark, sf, F.array("root")).select(F.col("file").alias("f_"), F.col("func").alias("g_"), F.get("chain", F.lit(0)).alias("r_"), "chain_owner")
-    owned = refs.join(roots, (F.col("file") == F.col("f_")) & F.col("enclosing_func").eqNullSafe(F.col("g_")) & (F.col("root") == F.col("r_")), "left")
-    own = F.coalesce(F.nullif("owner", F.lit("")), "chain_owner").alias("own")
-    return got.join(owned.where("name = 'small_ring' and role = 'field' and not is_local").select("ord", own), "ord").select("ord", "own")
+    owned = got.join(roots, (F.col("in_file") == F.col("f_")) & F.col("in_func").eqNullSafe(F.col("g_")) & (F.col("root") == F.col("r_")), "left")
+    return owned.select("ord", F.coalesce(F.nullif("owner", F.lit("")), "chain_owner").alias("own"))
 
 
 _NEIGH = """, edges as (select callee as parent, coalesce(caller, '(file scope)') as name, file, line, col from (select *, row_number() over
