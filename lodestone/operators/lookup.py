@@ -63,16 +63,20 @@ def enclosing_func_at(refs: DataFrame, file: str, name: str, line: int, col: int
     return at.orderBy("ord").select("enclosing_func").limit(1)
 
 
-def ref_at(refs: DataFrame, cursors: DataFrame) -> DataFrame:
-    """First reference at each exact place of ``cursors(req_id, file, name, line, col)``; cursors without one stay, with nulls."""
+def ref_at(refs: DataFrame, cursors: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+    """First reference at each exact place of ``cursors(req_id, file, name, line, col)``; cursors without one stay, with nulls.
+
+    First is by ``ord``, and by the columns ``ties`` of ``refs`` where that repeats.
+    """
     at = ["file", "name", "line", "col"]
-    rows = refs.select(*at, "ord", "enclosing_func", "is_local", "role", "owner", "obj_chain", F.col("source").alias("ref_source"))
-    return first_by(cursors.join(rows, at, "left"), ["req_id"], ["ord"])
+    rows = refs.select(*at, "ord", "enclosing_func", "is_local", "role", "owner", "obj_chain", F.col("source").alias("ref_source"), *ties)
+    # An id that is asked at several places has a reference if any of them has.
+    return first_by(cursors.join(rows, at, "left"), ["req_id"], [F.col(c).asc_nulls_last() for c in ("ord", *ties)]).drop(*ties)
 
 
-def scope_at(refs: DataFrame, cursors: DataFrame) -> DataFrame:
+def scope_at(refs: DataFrame, cursors: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
     """The same with defaults for places without a reference."""
-    return ref_at(refs, cursors).withColumns({
+    return ref_at(refs, cursors, ties).withColumns({
         "is_local": F.coalesce("is_local", F.lit(False)), "role": F.coalesce("role", F.lit("")), "owner": F.coalesce("owner", F.lit(""))})
 
 

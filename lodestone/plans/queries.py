@@ -102,9 +102,14 @@ def _with_chain(refs):
     return refs.withColumn("obj_chain", F.when(F.col("root") != "", F.array("root")).otherwise(F.array().cast("array<string>")))
 
 
+def _first_refs(spark, sf):
+    """References with their place in the table: numbers repeat there, and the first row of the table is the first of equals."""
+    return _with_chain(relation(spark, sf, "refs", placed="lineitem"))
+
+
 @query("ref_at_batch", ", " + _CURSOR + _AT.format(cols="ord, enclosing_func, is_local, role, owner") + " select * from at_")
 def _ref_at(spark, sf):
-    return lookup.ref_at(_with_chain(_(spark, sf, "refs")), _cursors(spark, sf)).select("req_id", "ord", "enclosing_func", "is_local", "role", "owner")
+    return lookup.ref_at(_first_refs(spark, sf), _cursors(spark, sf), ("place",)).select("req_id", "ord", "enclosing_func", "is_local", "role", "owner")
 
 
 @query("scope_at_batch", ", " + _CURSOR + _AT.format(cols="enclosing_func, coalesce(is_local, false) as is_local, coalesce(role, '') as role, coalesce(owner, '') as owner")

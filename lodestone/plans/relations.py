@@ -7,6 +7,7 @@ dialects read alike is used.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FILES = """select doc_id as id, source || '/' || lang || '/d' || cast(doc_id as string) || '.c' as path, sha1(text) as hash, n_chars as mtime,
   case when n_chars > 2048 then 'grep' else 'ts' end as parsed_by, text from documents"""
@@ -61,8 +62,8 @@ _TABLES = ("documents", "part", "lineitem", "orders", "nation", "region")
 PREFIX = "with recursive " + ",\n".join(f"{name} as ({sql})" for name, sql in ALL.items()) + "\n"
 
 
-def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One relation over the tables of a data folder."""
+def relation(spark: SparkSession, sf_dir: str, name: str, placed: str | None = None) -> DataFrame:
+    """One relation over the tables of a data folder; with ``place``, the file and row of the table ``placed`` in it, if that is given."""
     import re
 
     sql = ALL[name]
@@ -70,4 +71,8 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = sql
     for t in used:
         text = re.sub(rf"\b(from|join) {t}\b", rf"\1 {{{t}}}", text)
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
+    if placed:
+        tables[placed] = tables[placed].select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("place"))
+        text = text.replace("select ", "select place, ", 1)
+    return spark.sql(text, **tables)
