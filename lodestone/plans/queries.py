@@ -115,7 +115,7 @@ def _ref_at(spark, sf):
 @query("scope_at_batch", ", " + _CURSOR + _AT.format(cols="enclosing_func, coalesce(is_local, false) as is_local, coalesce(role, '') as role, coalesce(owner, '') as owner")
        + " select * from at_")
 def _scope_at(spark, sf):
-    return lookup.scope_at(_with_chain(_(spark, sf, "refs")), _cursors(spark, sf)).select("req_id", "enclosing_func", "is_local", "role", "owner")
+    return lookup.scope_at(_first_refs(spark, sf), _cursors(spark, sf), ("place",)).select("req_id", "enclosing_func", "is_local", "role", "owner")
 
 
 _PARENT = """, parents as (select name, id as parent_id from (select name, id, row_number() over (partition by name order by kind = 'typedef', id) as rn from symbols

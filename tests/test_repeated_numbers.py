@@ -43,7 +43,7 @@ def at_places(tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["ref_at_batch"])
+@pytest.mark.parametrize("name", ["ref_at_batch", "scope_at_batch"])
 def test_first_of_equal_references(spark, at_places, name):
     con = connect(at_places)
     con.execute("set threads = 1")  # with more, what the SQL gives for equal numbers changes from run to run
